@@ -16,7 +16,12 @@ from pyspark.sql import types as T
 
 from quern.llm.common import shared_dir, stored
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: State lives in RocksDB; a partition's store closes once its changes are in the shared folder,
+#: since every open one holds some MB of preallocated local files however little it stores.
+STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.unloadOnCommit": "true",
+}
 
 
 def sha256(text: Column) -> Column:
@@ -38,9 +43,10 @@ def stream_digests(spark: SparkSession, path: str, key: str = "doc_id", text: st
     goes on from the state held there.
     """
     home = state or shared_dir(spark, "exact")
-    held = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
+    held = {name: spark.conf.get(name, None) for name in STATE}
     schema = spark.read.parquet(path).schema
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    for name, value in STATE.items():
+        spark.conf.set(name, value)
     try:
         rows = spark.readStream.schema(schema).option("maxBytesPerTrigger", str(per_batch)).parquet(_pattern(path))
         coded = rows.select(
@@ -56,10 +62,8 @@ def stream_digests(spark: SparkSession, path: str, key: str = "doc_id", text: st
         query = kept.writeStream.outputMode("update").option("checkpointLocation", f"{home}/state").trigger(availableNow=True).foreachBatch(put).start()
         query.awaitTermination()
     finally:
-        if held is None:
-            spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
-        else:
-            spark.conf.set("spark.sql.streaming.stateStore.providerClass", held)
+        for name, value in held.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
     if not query.lastProgress or not any(p["numInputRows"] for p in query.recentProgress):
         at = T.StructType([T.StructField("id", schema[key].dataType), T.StructField("file", T.StringType()), T.StructField("row", T.LongType())])
         if not state:
