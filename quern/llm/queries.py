@@ -5,18 +5,41 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import exactdedup, simhash
+from quern.llm import exactdedup, simhash, tokenstore, urlfilter, warc
+from quern.llm.common import shared_dir
+
+TOKENIZER = "word_bpe_49k.json"
+END_ID = 2
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages to monolithic WARC archives, normalised to one member a record, read back by index."""
+    return warc.archive_pages(table(spark, sf_dir, "pages"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact de-duplication of documents as a stateful stream; of equal texts the largest id stays."""
     return exactdedup.exact_duplicates(spark, f"{sf_dir}/documents.parquet")
 
 
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts on page URLs: host and path rules, then the character-model ratio."""
+    return urlfilter.judge(table(spark, sf_dir, "pages"))
+
+
+def op8_token_parquet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of documents written as Parquet lists in key order, and what the files hold."""
+    import public_tokenizers
+
+    path = shared_dir(spark, "tokens")
+    tokenstore.write_tokens(table(spark, sf_dir, "documents"), path, public_tokenizers.path(TOKENIZER), END_ID)
+    return tokenstore.token_report(spark, path)
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash classes of documents by covering hashing: 4-word shingles, radius 4."""
     out = simhash.near_duplicates(table(spark, sf_dir, "documents"), radius=4, width=4)
@@ -24,11 +47,21 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op4_warc_normaliser": op4_warc_normaliser,
     "op6_exact_dedup": op6_exact_dedup,
+    "op7_url_filter": op7_url_filter,
+    "op8_token_parquet": op8_token_parquet,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
 
 ORACLE = {
+    "op4_warc_normaliser": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+             x AS (SELECT page_id, octet_length(encode(html)) AS n, sha256(html) AS d, min(page_id) OVER (PARTITION BY html) AS f FROM p)
+        SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, d AS payload_digest,
+               CASE WHEN n >= 100 AND page_id > f THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN n >= 100 AND page_id > f THEN f END AS refers_to
+        FROM x""",
     "op6_exact_dedup": """
         WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents)
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256
