@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import exactdedup, simhash, tokenstore, urlfilter, warc
+from quern.llm import decontam, exactdedup, simhash, tokenstore, toxicity, urlfilter, warc
 from quern.llm.common import shared_dir
 
 TOKENIZER = "word_bpe_49k.json"
@@ -16,6 +16,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_toxicity_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Noisy-or toxicity of whole documents, learned from document labels outside fold 2 of 4."""
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score_documents(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
+def op3_decontamination_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of documents and benchmark items that string tiling covers by 0.8 or more."""
+    return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages to monolithic WARC archives, normalised to one member a record, read back by index."""
     return warc.archive_pages(table(spark, sf_dir, "pages"))
@@ -47,6 +58,8 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_toxicity_mil": op1_toxicity_mil,
+    "op3_decontamination_tiling": op3_decontamination_tiling,
     "op4_warc_normaliser": op4_warc_normaliser,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_url_filter": op7_url_filter,
