@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import decontam, exactdedup, simhash, tokenstore, toxicity, urlfilter, warc
+from quern.llm import decontam, exactdedup, katz, simhash, tokenstore, toxicity, urlfilter, warc
 from quern.llm.common import shared_dir
 
 TOKENIZER = "word_bpe_49k.json"
@@ -32,6 +32,11 @@ def op4_warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_pages(table(spark, sf_dir, "pages"))
 
 
+def op5_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Katz backoff log-probabilities of whole documents, trained outside fold 2 of 7."""
+    return katz.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact de-duplication of documents as a stateful stream; of equal texts the largest id stays."""
     return exactdedup.exact_duplicates(spark, f"{sf_dir}/documents.parquet")
@@ -61,6 +66,7 @@ QUERIES = {
     "op1_toxicity_mil": op1_toxicity_mil,
     "op3_decontamination_tiling": op3_decontamination_tiling,
     "op4_warc_normaliser": op4_warc_normaliser,
+    "op5_katz_backoff": op5_katz_backoff,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_url_filter": op7_url_filter,
     "op8_token_parquet": op8_token_parquet,
