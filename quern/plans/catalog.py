@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
 from quern.functions import rules
 from quern.functions.text import exact_hash, preview, words
@@ -188,8 +189,9 @@ def topic_histogram(spark, sf_dir):
 def funnel(docs: DataFrame) -> DataFrame:
     """Every document with the first rule of the chain that it breaks: length, quality, exact copies of what is left."""
     done = normalize.normalize(docs)
-    rated = filters.quality_gate(done).withColumn("rule", F.coalesce("normalize_rule", "quality_rule")).select("doc_id", "lang", "source", "text", "rule")
-    rated = rated.withColumn("exact_hash", exact_hash(F.col("text")))
+    rated = filters.quality_gate(done).select("doc_id", "lang", "source", F.coalesce("normalize_rule", "quality_rule").alias("rule"), exact_hash(F.col("text")).alias("exact_hash"))
+    # the few short columns are kept: read twice below, and no filter on a rule is pushed into the texts again
+    rated = rated.persist(StorageLevel.MEMORY_AND_DISK)
     first = rated.filter("rule IS NULL").groupBy("exact_hash").agg(F.min("doc_id").alias("first"))
     met = rated.join(first, "exact_hash", "left")
     return met.withColumn("rule", F.coalesce("rule", F.when(F.col("doc_id") != F.col("first"), F.lit("exact_duplicate")))).drop("first")
@@ -307,7 +309,7 @@ def export_manifest(spark, sf_dir):
 
 @query("export_filter", f"SELECT doc_id FROM ({signals_sql('SELECT doc_id, lang, source, text FROM documents')}) WHERE text <> '' AND source <> '' AND lang IN ('en', 'fr') AND overall_quality >= 0.8::DOUBLE")
 def export_filter(spark, sf_dir):
-    rated = filters.quality_signals(table(spark, sf_dir, "documents"))
+    rated = filters.quality_signals(table(spark, sf_dir, "documents")).select("doc_id", "text", "source", "lang", "overall_quality").persist(StorageLevel.MEMORY_AND_DISK)
     return export.keep_for_export(rated, languages=("en", "fr"), min_quality=0.8, language="lang").select("doc_id")
 
 
