@@ -28,22 +28,25 @@ BITS = 64
 WIDE = 4096
 
 
-def fingerprint(text: str | None, width: int = 4, seed: int = 42) -> int:
-    """Unsigned 64-bit SimHash of the A-Z-lower-cased words of one text (0 without words)."""
+def shingle_hashes(text: str, width: int, seed: int = 42) -> np.ndarray:
+    """XXH64 of the word shingles of a text (the whole sequence of a shorter one; none without words)."""
     import xxhash
 
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return 0
+    words = text.encode("utf-8", "surrogatepass").lower().split()
     digest = xxhash.xxh64_intdigest
+    if not words:
+        return np.empty(0, np.uint64)
+    whole = b" ".join(words)
     if len(words) <= width:
-        hashes = np.array([digest(b" ".join(words), seed)], np.uint64)
-    else:
-        whole = b" ".join(words)
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-        starts = np.concatenate(([0], ends[:-1] + 1))
-        spans = zip(starts[: len(words) - width + 1].tolist(), ends[width - 1 :].tolist(), strict=True)
-        hashes = np.fromiter((digest(whole[s:e], seed) for s, e in spans), np.uint64, len(words) - width + 1)
+        return np.array([digest(whole, seed)], np.uint64)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    spans = zip(starts[: len(words) - width + 1].tolist(), ends[width - 1 :].tolist(), strict=True)
+    return np.fromiter((digest(whole[s:e], seed) for s, e in spans), np.uint64, len(words) - width + 1)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes."""
     ones = np.zeros(BITS, np.int64)
     for at in range(0, len(hashes), 8192):
         part = hashes[at : at + 8192].astype("<u8").view(np.uint8).reshape(-1, 8)
@@ -51,6 +54,12 @@ def fingerprint(text: str | None, width: int = 4, seed: int = 42) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(hashes), bitorder="little").tobytes(), "little")
 
 
+def fingerprint(text: str | None, width: int = 4, seed: int = 42) -> int:
+    """Unsigned 64-bit SimHash of the A-Z-lower-cased words of one text (0 without words)."""
+    hashes = shingle_hashes(text or "", width, seed)
+    return majority(hashes) if len(hashes) else 0
+
+
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 4) -> DataFrame:
     """(id, fp): signed 64-bit fingerprint of every row; null text counts as empty."""
 
@@ -183,10 +192,130 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", ra
     return prints.join(classes, "fp").select(F.col("id").alias(key), "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = 4, width: int = 4) -> DataFrame:
-    """The rows of ``docs`` whose key names their class: one document of each group stays.
+PARTS, PART_BITS, PART_RADIUS = 6, 32, 3
+
+
+def bits_apart(similarity: float, bits: int) -> int:
+    """Expected differing bits of two shingle sets of this Jaccard similarity, and one deviation more."""
+    from math import acos, pi, sqrt
+
+    share = acos(2 * similarity / (1 + similarity)) / pi
+    return int(bits * share + sqrt(bits * share * (1 - share)))
+
+
+def wide_fingerprints(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
+    """(id, s0, s1, s2): SimHash of 192 bits, six independent parts of 32 bits."""
+
+    def spread(hashes: np.ndarray, k: int) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            mixed = hashes + np.uint64(0x9E3779B97F4A7C15) * np.uint64(k)
+            mixed = (mixed ^ (mixed >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+            mixed = (mixed ^ (mixed >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+            return mixed ^ (mixed >> np.uint64(31))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = np.zeros((batch.num_rows, 3), np.uint64)
+            for row, t in enumerate(batch.column(1)):
+                hashes = shingle_hashes(t.as_py() or "", width)
+                if len(hashes):
+                    found[row] = [majority(spread(hashes, k)) for k in (1, 2, 3)]
+            yield pa.record_batch([batch.column(0), *(pa.array(np.ascontiguousarray(found[:, k]).view(np.int64)) for k in range(3))], names=["id", "s0", "s1", "s2"])
 
-    Rows that repeat a key with the same text are one document and stay or go together.
+    kind = docs.schema[key].dataType.simpleString()
+    return docs.select(F.col(key).alias("id"), F.col(text).alias("text")).mapInArrow(run, f"id {kind}, s0 long, s1 long, s2 long")
+
+
+def _wide_linker(most: int):
+    def apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64)
+
+    def forest(rep: np.ndarray, sig: np.ndarray) -> tuple[list, list]:
+        left, right, rest = [], [], np.arange(len(rep))
+        while len(rest) > 1:
+            todo, rest = [rest[0]], rest[1:]
+            while todo and len(rest):
+                at = todo.pop()
+                near = apart(sig[rest], sig[at]) <= most
+                if near.any():
+                    found = rest[near]
+                    left.append(np.full(len(found), rep[at]))
+                    right.append(rep[found])
+                    todo.extend(found.tolist())
+                    rest = rest[~near]
+        return left, right
+
+    def settle(tk: np.ndarray, rep: np.ndarray, sig: np.ndarray) -> pa.RecordBatch:
+        starts = np.concatenate(([0], np.flatnonzero(tk[1:] != tk[:-1]) + 1))
+        sizes = np.diff(np.concatenate((starts, [len(tk)])))
+        run = np.repeat(np.arange(len(starts)), sizes)
+        small = sizes[run] <= 16
+        left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for d in range(1, 16):  # within short runs every pair is looked at, all runs at once
+            at = np.flatnonzero(small[:-d] & (run[d:] == run[:-d])) if len(tk) > d else np.empty(0, np.int64)
+            if not len(at):
+                break
+            at = at[apart(sig[at], sig[at + d]) <= most]
+            left.append(rep[at])
+            right.append(rep[at + d])
+        for k in np.flatnonzero(sizes > 16):
+            part = slice(starts[k], starts[k] + sizes[k])
+            a, b = forest(rep[part], sig[part])
+            left += a
+            right += b
+        a, b = np.concatenate(left), np.concatenate(right)
+        pairs = np.unique(np.stack((np.minimum(a, b), np.maximum(a, b)), axis=1), axis=0)
+        return pa.record_batch([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            tk, rep = np.asarray(batch.column(0)), np.asarray(batch.column(1))
+            sig = np.stack([np.asarray(batch.column(k)) for k in (2, 3, 4)], axis=1).view(np.uint64)
+            held.append((tk, rep, sig))
+            if len(held) > 1 and tk[-1] == held[0][0][-1]:
+                continue  # the batch belongs to the open run as a whole
+            tk, rep, sig = (np.concatenate(x) for x in zip(*held, strict=True))
+            cut = len(tk) - int(np.argmax(np.append((tk != tk[-1])[::-1], True)))
+            if cut:
+                yield settle(tk[:cut], rep[:cut], sig[:cut])
+            held = [(tk[cut:], rep[cut:], sig[cut:])]
+        if held:
+            yield settle(*(np.concatenate(x) for x in zip(*held, strict=True)))
+
+    return run
+
+
+def similar_links(prints: DataFrame, similarity: float) -> DataFrame:
+    """(a, b) of ``rep``: links of signatures whose distance says ``similarity`` or more.
+
+    Covering masks of radius 3 over each 32-bit part: a pair that differs in at most 23 of the 192
+    bits has a part with at most 3 of them and is sure to meet; pairs further apart, up to the
+    accepted distance, meet whenever any part has at most 3, or by chance beyond.
+    """
+    masks = covering_masks(PART_RADIUS, PART_BITS)
+    parts = []
+    for p in range(PARTS):
+        value = F.shiftrightunsigned(f"s{p // 2}", 32 * (p % 2)).bitwiseAND(F.lit(0xFFFFFFFF))
+        parts += [F.shiftleft(value.bitwiseAND(F.lit(m)), 8).bitwiseOR(F.lit(p * len(masks) + t)) for t, m in enumerate(masks)]
+    rows = prints.select(F.explode(F.array(*parts)).alias("tk"), "rep", "s0", "s1", "s2")
+    dealt = rows.repartition(shuffle_partitions(prints.sparkSession), "tk").sortWithinPartitions("tk")
+    return dealt.mapInArrow(_wide_linker(bits_apart(similarity, PARTS * PART_BITS)), "a long, b long").distinct()
+
+
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """One document, that with the least key, of each class of similar documents; all its columns.
+
+    Classes are the components of links between documents whose sets of ``width``-word shingles
+    have, by their 192-bit SimHash, a Jaccard similarity of ``similarity`` or more.  Keys must be
+    integers.  Rows that repeat a key stay or go together; rows with a null key stay.
     """
-    kept = near_duplicates(docs, key, text, radius, width).filter(F.col(key) == F.col("component_id")).select(F.col(key).alias("_kept")).distinct()
-    return docs.join(kept, docs[key] == kept["_kept"], "left_semi")
+    prints = stored(wide_fingerprints(docs.filter(F.col(key).isNotNull()), key, text, width), "wide-prints")
+    sig = ["s0", "s1", "s2"]
+    reps = stored(prints.groupBy(*sig).agg(F.min("id").cast("long").alias("rep")), "wide-reps")
+    found = components(similar_links(reps, similarity))
+    rooted = reps.join(found.withColumnRenamed("node", "rep"), "rep", "left").filter(F.col("root").isNull() | (F.col("root") == F.col("rep")))
+    kept = rooted.select(F.col("rep").alias("_kept"))
+    return docs.filter(F.col(key).isNull()).unionByName(docs.join(kept, docs[key] == kept["_kept"], "left_semi"))
