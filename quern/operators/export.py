@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quern.functions.text import strip
 
@@ -60,7 +61,7 @@ def shard_ids(rows: DataFrame, group: str, order: str, size: str, max_records: i
     Before a row is added its shard ends if it holds ``max_records`` or the row would bring it to
     ``max_bytes``; with ``after`` it ends once it holds ``max_bytes``.
     """
-    schema = rows.schema.add("shard", "long")
+    schema = T.StructType([*rows.schema.fields, T.StructField("shard", T.LongType())])
     place, of = rows.columns.index(size), rows.columns.index(group)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 EDGES = (0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0)
 
@@ -52,7 +53,7 @@ def admitted(rows: DataFrame, key: str, micros: str, order: str, seconds: int, l
     import pyarrow as pa
 
     of, at = rows.columns.index(key), rows.columns.index(micros)
-    schema = rows.schema.add("admitted", "boolean")
+    schema = T.StructType([*rows.schema.fields, T.StructField("admitted", T.BooleanType())])
 
     def run(batches):
         from collections import deque

@@ -95,7 +95,7 @@ def books(spark: SparkSession, catalog: str, folder: str, languages=("en",), sub
     told = told.filter(wanted)
     if most_books:
         told = told.orderBy(F.col("`Text#`").cast("int")).limit(most_books)
-    files = spark.read.option("wholetext", True).text(folder).select(F.col("value"), F.regexp_extract("_metadata.file_name", r"^(\d+)(?:-0)?\.txt$", 1).alias("n"), F.col("_metadata.file_name").endswith("-0.txt").alias("first"))
+    files = spark.read.text(folder, wholetext=True).select(F.col("value"), F.regexp_extract("_metadata.file_name", r"^(\d+)(?:-0)?\.txt$", 1).alias("n"), F.col("_metadata.file_name").endswith("-0.txt").alias("first"))
     best = files.filter("n <> ''").groupBy("n").agg(F.max_by("value", F.col("first").cast("int")).alias("value"))
     rows = told.join(best, F.col("`Text#`") == F.col("n")).withColumn("text", book_text(F.col("value"))).filter(F.length("text") >= least)
     return documents(rows, "gutenberg", {"gutenberg_id": F.col("`Text#`"), "author": F.col("Authors"), "subjects": F.col("Subjects"), "issued": F.col("Issued")}, text=F.col("text"), title=F.col("Title"), language=F.col("Language"), domain=F.lit("literature"), license=F.lit("public_domain"))
