@@ -1,7 +1,8 @@
 """Fuzzy line de-duplication: SimHash, pigeonhole blocks, edit similarity, connected groups.
 
 Lines are normalised (lower case, digits as 0, white space collapsed).  Equal normalised lines are one node.
-The SimHash of a node is the bit majority of its words' hashes.  With 64 bits in ``radius + 2``
+The SimHash of a node is the bit majority of the hashes of its adjacent word pairs (single words
+alone would bring all long lines of a language together).  With 64 bits in ``radius + 2``
 blocks, two fingerprints within ``radius`` bits agree on two whole blocks at least, so each goes
 to one bucket per pair of blocks and every such pair meets; of the buckets only the edges of
 spanning forests leave.  Within a component of close fingerprints, nodes are linked if their
@@ -80,6 +81,22 @@ def distance(a: str, b: str, allowed: int) -> int:
     return score
 
 
+def word_pairs(values: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, list[int], int]:
+    """(hashes, starts, end): the adjacent pairs of each run of word hashes, a lone word itself."""
+    with np.errstate(over="ignore"):
+        mixed = values[:-1] * np.uint64(0x9E3779B97F4A7C15) + values[1:]
+        mixed = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+        mixed ^= mixed >> np.uint64(32)
+    sizes = np.diff(bounds)
+    out = np.append(mixed, np.uint64(0))
+    lone = bounds[:-1][sizes == 1]
+    out[lone] = values[lone]
+    keep = np.ones(len(values), bool)
+    keep[(bounds[1:] - 1)[sizes > 1]] = False
+    ends = np.cumsum(np.maximum(sizes - 1, 1))
+    return out[keep], [0, *ends[:-1].tolist()], int(ends[-1])
+
+
 def line_table(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n, h, sim): every line with words; ``h`` names the normalised line, ``sim`` is its SimHash."""
 
@@ -111,7 +128,8 @@ def line_table(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
                         at = len(values)
                 if not starts:
                     continue
-                bits = np.unpackbits(np.array(values, np.uint64).astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+                values, starts, at = word_pairs(np.array(values, np.uint64), np.array([*starts, at]))
+                bits = np.unpackbits(values.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
                 ones = np.add.reduceat(bits, starts, axis=0, dtype=np.int32)
                 sizes = np.diff([*starts, at])
                 prints.append(np.packbits(2 * ones > sizes[:, None], axis=1, bitorder="little").view("<u8").ravel())
