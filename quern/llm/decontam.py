@@ -54,10 +54,10 @@ def tile(doc: list[int], item: list[int], starts: list[int], least: int) -> list
                 table[value].append(at - width + 1)
         found = []
         if table:
-            last, value = -1, 0
+            last, value = -2, 0
             for d in starts:
                 if d + width > len(doc) or not all(free_doc[d : d + width]):
-                    last = -1
+                    last = -2
                     continue
                 if last == d - 1:
                     value = ((value - doc[d - 1] * power) * BASE + doc[d + width - 1]) & MASK
