@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from quern.llm.common import shuffle_partitions
 
 #: Chunks whose ids a worker remembers before it starts anew.
-REMEMBERED = 500_000
+REMEMBERED = 400_000
 
 
 class Encoder:
@@ -50,44 +50,48 @@ class Encoder:
         hidden = [b for b in range(256) if b not in set(shown)]
         self.bytes = dict(zip([*shown, *hidden], [*shown, *range(256, 256 + len(hidden))], strict=True))
         self.split = re.compile(r"([A-Za-zÀ-ÖØ-öø-įı-ƺ]*)([!-&(-/:-@\[-`{-~]*)").fullmatch
-        self.clear()
+        self.turn()
 
-    def clear(self) -> None:
-        self.at: dict[bytes, int] = {}
-        self.words: dict[str, list[int]] = {}
+    def turn(self) -> None:
+        """Forget all chunks."""
+        chunk = self.chunk
+
+        class Known(dict):
+            def __missing__(self, raw: bytes) -> int:
+                n = self[raw] = chunk(raw)
+                return n
+
+        self.at: dict[bytes, int] = Known()
         self.flat, self.starts, self.sizes = array("i"), array("q"), array("i")
 
     def word(self, text: str) -> list[int]:
-        found = self.words.get(text)
-        if found is None:
-            raw = text if text.isascii() else text.encode().decode("latin-1").translate(self.bytes)
-            found = self.words[text] = [t.id for t in self.model.tokenize(raw)]
-        return found
+        raw = text if text.isascii() else text.encode().decode("latin-1").translate(self.bytes)
+        return [t.id for t in self.model.tokenize(raw)]
 
     def chunk(self, raw: bytes) -> int:
-        text = raw.decode("utf-8", "replace")
-        if parts := self.split(text):
-            letters, tail = parts.groups()
-            ids = self.word(letters.lower()) if letters else []
-            if tail:
-                ids = ids + self.word(tail)
-        else:
-            ids = self.whole.encode(text, add_special_tokens=False).ids
+        ids = self.encode_chunk(raw.decode("utf-8", "replace"))
         self.starts.append(len(self.flat))
         self.sizes.append(len(ids))
         self.flat.extend(ids)
-        return self.at.setdefault(raw, len(self.sizes) - 1)
+        return len(self.sizes) - 1
 
-    def encode(self, text: str) -> np.ndarray:
+    def encode_chunk(self, text: str) -> list[int]:
+        if parts := self.split(text):
+            letters, tail = parts.groups()
+            ids = self.word(letters.lower()) if letters else []
+            return ids + self.word(tail) if tail else ids
+        return self.whole.encode(text, add_special_tokens=False).ids
+
+    def encode(self, text: bytes) -> np.ndarray:
+        """Ids of a text in UTF-8."""
         if len(self.at) > REMEMBERED:
-            self.clear()
-        known, chunk = self.at, self.chunk
-        get = known.get
-        index = [i if (i := get(c)) is not None else chunk(c) for c in text.encode("utf-8", "replace").split()]
-        at = np.fromiter(index, np.int64, len(index))
-        sizes = np.frombuffer(self.sizes, np.int32)[at].astype(np.int64) if len(at) else np.empty(0, np.int64)
+            self.turn()
+        # the tokenizer folds case itself, but tells its special tokens by the case they are written in
+        found = text.split() if b"<|" in text else text.lower().split()
+        at = np.fromiter(map(self.at.__getitem__, found), np.int64, len(found))
         if not len(at):
             return np.empty(0, np.int32)
+        sizes = np.frombuffer(self.sizes, np.int32)[at].astype(np.int64)
         begins = np.frombuffer(self.starts, np.int64)[at]
         ends = np.cumsum(sizes)
         places = np.arange(int(ends[-1])) + np.repeat(begins - (ends - sizes), sizes)
@@ -114,10 +118,10 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_file: str, end_id: int, k
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, at = _encoder(tokenizer_file), 0
         end = np.array([end_id], np.int32)
-        for batch in batches:
+        for batch in (whole.slice(k, 2000) for whole in batches for k in range(0, whole.num_rows, 2000)):
             parts = []
             for value in batch.column(1):
-                parts += [encoder.encode(value.as_py() or ""), end]
+                parts += [encoder.encode(value.as_py() or b""), end]
             sizes = np.fromiter((len(parts[i]) + 1 for i in range(0, len(parts), 2)), np.int64, len(parts) // 2)
             flat = np.concatenate(parts) if parts else np.empty(0, np.int32)
             offsets = np.concatenate(([0], np.cumsum(sizes)))
@@ -127,7 +131,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_file: str, end_id: int, k
 
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    dealt = rows.repartitionByRange(shuffle_partitions(docs.sparkSession), "key").sortWithinPartitions("key", "text")
+    dealt = rows.repartitionByRange(shuffle_partitions(docs.sparkSession), "key").sortWithinPartitions("key", "text").select("key", F.col("text").cast("binary"))
     coded = dealt.mapInArrow(run, f"key {kind}, at long, n_tokens long, ids array<int>")
     writer = coded.write.option("compression", "zstd").option("parquet.writer.version", "PARQUET_2_0")
     writer = writer.option("parquet.block.size", str(row_group)).option("parquet.page.size", str(page)).option("parquet.page.row.count.limit", "2000")
