@@ -8,6 +8,7 @@ document labels alone; afterwards the same sentence scores locate the offending
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,11 +35,8 @@ def word_features(word: str) -> list[int]:
     return [crc32(n.encode("utf-8", "replace")) % BUCKETS for n in names]
 
 
-def select_features(documents: list[set[int]], labels: np.ndarray, least: float = 4.0, most: int = 20_000) -> np.ndarray:
-    """Buckets whose document frequency is ``least`` standard errors higher in toxic documents."""
-    seen = [np.zeros(BUCKETS, np.int32), np.zeros(BUCKETS, np.int32)]
-    for found, label in zip(documents, labels, strict=True):
-        seen[int(label)][np.fromiter(found, np.int64, len(found))] += 1
+def select_features(seen: list[np.ndarray], labels: np.ndarray, least: float = 4.0, most: int = 20_000) -> np.ndarray:
+    """Buckets whose document frequency (``seen`` by label) is ``least`` standard errors higher in toxic documents."""
     n1, n0 = max(1, int(labels.sum())), max(1, int(len(labels) - labels.sum()))
     p1, p0 = seen[1] / n1, seen[0] / n0
     mean = (seen[1] + seen[0] + 1) / (n1 + n0 + 2)
@@ -80,24 +78,22 @@ def train_bags(texts: list[str], labels: np.ndarray) -> tuple[float, dict[int, f
     import re
 
     split = re.compile(SPLIT).split
-    known: dict[str, list[int]] = {}
-
-    def features(word: str) -> list[int]:
-        found = known.get(word)
-        if found is None:
-            found = known[word] = word_features(word)
-        return found
-
-    documents = []
-    for text in texts:
-        found: set[int] = set()
+    seen = [np.zeros(BUCKETS, np.int32), np.zeros(BUCKETS, np.int32)]
+    known: dict[str, array] = {}
+    for text, label in zip(texts, labels, strict=True):
+        found = array("i")
         for word in set(text.lower().split()):
-            found.update(features(word))
-        documents.append(found)
-    chosen = select_features(documents, labels)
-    del documents
+            ids = known.get(word)
+            if ids is None:
+                if len(known) > REMEMBERED // 4:
+                    known.clear()
+                ids = known[word] = array("i", word_features(word))
+            found.extend(ids)
+        seen[int(label)][np.unique(np.frombuffer(found, np.int32))] += 1
+    del known
+    chosen = select_features(seen, labels)
     place = {int(b): k for k, b in enumerate(chosen)}
-    places: dict[str, list[int]] = {}
+    places: dict[str, tuple[int, ...]] = {}
     rows, columns, owner, rest = [], [], [], np.zeros(len(texts))
     for at, text in enumerate(texts):
         for sentence in split(text.lower()):
@@ -108,7 +104,9 @@ def train_bags(texts: list[str], labels: np.ndarray) -> tuple[float, dict[int, f
             for word in words:
                 hit = places.get(word)
                 if hit is None:
-                    hit = places[word] = [place[f] for f in features(word) if f in place]
+                    if len(places) > REMEMBERED // 4:
+                        places.clear()
+                    hit = places[word] = tuple(place[f] for f in word_features(word) if f in place)
                 active += hit
             if active:
                 rows += [len(owner)] * len(active)
