@@ -117,7 +117,7 @@ def write_monolithic(pages: DataFrame, folder: str, archive_bytes: int = ARCHIVE
             for page_id, url, payload, digest, n, kind, refers in zip(*(c for c in batch.columns), strict=True):
                 if out is None:
                     name, count, size = f"mono-{uuid.uuid4().hex}.warc.gz", 0, 0
-                    out, tool = system.open_output_stream(f"{base}/{name}", compression=None), zlib.compressobj(1, zlib.DEFLATED, 31)
+                    out, tool = system.open_output_stream(f"{base}/{name}", compression=None), zlib.compressobj(6, zlib.DEFLATED, 31)
                 kind, body = kind.as_py(), (payload.as_py() or b"")
                 fields = {"WARC-Type": kind, "WARC-Record-ID": f"<urn:page:{_clean(page_id.as_py())}>", "WARC-Date": EPOCH, "WARC-Target-URI": _clean(url.as_py()), "WARC-Payload-Digest": f"sha256:{digest.as_py()}", "X-Payload-Length": str(n.as_py())}
                 if kind == "revisit":
