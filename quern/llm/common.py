@@ -34,7 +34,16 @@ def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
     for key, value in options.items():
         writer = writer.option(key.replace("_", "."), value)
     writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the files of a stored table that nothing reads any more."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def fold_of(key: Column, modulus: int) -> Column:

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quern.llm.common import held_out, shared_dir, shuffle_partitions, stored
+from quern.llm.common import discard, held_out, shared_dir, shuffle_partitions, stored
 
 UNKNOWN = 0xFFFFFFFF
 #: Good-Turing discounts apply to counts up to this one.
@@ -413,6 +413,7 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", modulus: int
     local = stored(chunks(docs, key, text, modulus), "katz-chunks", compression="zstd")
     numbered, words, end = number_words(local, spark)
     table = stored(globalise(local, numbered, spark), "katz-tokens", compression="none")
+    discard(local)
     buckets = shuffle_partitions(spark)
     hot = int(np.searchsorted(-words.values, -max(1, words.total // buckets), side="right"))
     hot = int(words.ends[hot - 1]) if hot else 0
