@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 from quern.llm.common import stored
 
 BUCKETS = 1 << 16
-REMEMBERED = 400_000
+REMEMBERED = 150_000
 
 
 def _lookup():

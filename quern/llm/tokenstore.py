@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from quern.llm.common import shuffle_partitions
 
 #: Chunks whose ids a worker remembers before it starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 250_000
 
 
 class Encoder:

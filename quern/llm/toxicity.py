@@ -21,7 +21,7 @@ from quern.llm.common import held_out
 SPLIT = r"[.!?\n\r 。！？]+"
 BUCKETS = 1 << 20
 #: Words whose weight a worker remembers before it starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 150_000
 
 
 def word_features(word: str) -> list[int]:
