@@ -8,6 +8,9 @@ to one bucket per pair of blocks and every such pair meets; of the buckets only
 spanning forests leave.  Within a component of close fingerprints, nodes are linked if their
 fingerprints are within ``radius`` and their normalised texts have an edit similarity of at least
 ``similarity``.  Of each connected group of lines the first occurrence in (document, line) order stays.
+
+Few lines of edit similarity 0.8 lie within 3 bits.  ``edit_groups`` (op 2) therefore brings
+lines together by bands of minima over character grams, and lets edit similarity alone decide.
 """
 
 from __future__ import annotations
@@ -26,6 +29,9 @@ from quern.llm.simhash import BITS, _linker, _signed
 
 DIGITS = bytes.maketrans(b"123456789", b"000000000")
 REMEMBERED = 400_000
+#: Bands of minima, minima in each, bytes of a gram; lines up to SHORT characters also meet by what deletions leave.
+BANDS, WIDTH, GRAM, SHORT = 20, 4, 6, 14
+FACTORS = np.random.RandomState(1).randint(1, 2**31, BANDS * WIDTH).astype(np.uint32) * np.uint32(2) + np.uint32(1)
 
 
 def normal_words(line: str) -> list[bytes]:
@@ -217,13 +223,161 @@ def line_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", radius
     shared = prints.filter("nodes > 1").select(F.col("sim").alias("node"), F.col("sim").alias("root")).join(roots, "node", "left_anti")
     roots = roots.select("node", "root").unionByName(shared)
     asked = nodes.join(roots.withColumnRenamed("node", "sim"), "sim").select("root", "h", "sim", "first")
-    # the texts of these nodes' first occurrences, found again by document and line number
+    return first_kept(lines, nodes, verified(members(docs, asked, key, text), radius, similarity), key)
+
+
+def rows_of(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, str]:
+    return docs.select(F.col(key).alias("key"), F.col(text).alias("text")), docs.schema[key].dataType.simpleString()
+
+
+def line_names(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, n, h): every line with words; ``h`` names the normalised line."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        digest = xxhash.xxh64_intdigest
+        for batch in batches:
+            rows, numbers, names = [], [], []
+            for k, t in enumerate(batch.column(1)):
+                for n, line in enumerate((t.as_py() or "").split("\n")):
+                    if words := normal_words(line):
+                        rows.append(k)
+                        numbers.append(n)
+                        names.append(digest(b" ".join(words)))
+            keys = batch.column(0).take(pa.array(rows, pa.int64()))
+            yield pa.record_batch([keys, pa.array(numbers, pa.int32()), pa.array(np.array(names, np.uint64).view(np.int64))], names=["key", "n", "h"])
+
+    rows, kind = rows_of(docs, key, text)
+    return rows.mapInArrow(run, f"key {kind}, n int, h long")
+
+
+def shortened(line: str) -> set[str]:
+    """What deletions leave of a line of at most SHORT characters: two such lines of edit similarity 0.8 share one."""
+    return {"".join(c for k, c in enumerate(line) if k not in gone) for d in range(min(2, len(line) // 4) + 1) for gone in combinations(range(len(line)), d)}
+
+
+def band_keys(lines: list[bytes]) -> np.ndarray:
+    """A row of BANDS keys for each line: each joins WIDTH minima of hashes of the line's GRAM-byte grams."""
+    padded = [b"\x02" + x.ljust(GRAM, b"\x03") + b"\x03" for x in lines]
+    codes = np.frombuffer(b"".join(padded), np.uint8).astype(np.uint64)
+    sizes = np.array([len(x) for x in padded])
+    grams = np.zeros(len(codes) - GRAM + 1, np.uint64)
+    with np.errstate(over="ignore"):
+        for j in range(GRAM):
+            grams = grams * np.uint64(1099511628211) + codes[j : j + len(grams)] + np.uint64(7)
+        grams = (grams ^ (grams >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        inside = np.ones(len(codes), bool)
+        ends = np.cumsum(sizes)
+        for j in range(1, GRAM):  # grams that would run into the next line
+            inside[ends - j] = False
+        grams = (grams >> np.uint64(32)).astype(np.uint32)[inside[: len(grams)]]
+        counts = sizes - GRAM + 1
+        starts = np.cumsum(counts) - counts
+        out = np.empty((len(lines), BANDS), np.uint64)
+        for band in range(BANDS):
+            joined = np.full(len(lines), band, np.uint64)
+            for a in FACTORS[band * WIDTH : (band + 1) * WIDTH]:
+                joined = (joined ^ (joined >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) + np.minimum.reduceat(grams * a, starts)
+            out[:, band] = joined ^ (joined >> np.uint64(32))
+    return out
+
+
+def meeting_places(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(bucket, h): where each normalised line may meet those of edit similarity 0.8."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        digest = xxhash.xxh64_intdigest
+
+        def placed(lines: dict[int, bytes]) -> pa.RecordBatch:
+            names = np.fromiter(lines, np.uint64, len(lines))
+            places, who = [band_keys(list(lines.values())).ravel()], [np.repeat(names, BANDS)]
+            for h, x in lines.items():
+                if len(x) <= 4 * SHORT and len(line := x.decode("utf-8", "replace")) <= SHORT:
+                    left = shortened(line)
+                    places.append(np.fromiter((digest(v.encode(), 1) for v in left), np.uint64, len(left)))
+                    who.append(np.full(len(left), h, np.uint64))
+            return pa.record_batch([pa.array(np.concatenate(x).view(np.int64)) for x in (places, who)], names=["bucket", "h"])
+
+        for batch in batches:
+            lines: dict[int, bytes] = {}
+            held = 0
+            for t in batch.column(1):
+                for line in (t.as_py() or "").split("\n"):
+                    if words := normal_words(line):
+                        whole = b" ".join(words)
+                        lines[digest(whole)] = whole
+                        held += len(whole)
+                if held > 1 << 16:
+                    yield placed(lines)
+                    lines, held = {}, 0
+            if lines:
+                yield placed(lines)
+
+    return rows_of(docs, key, text)[0].mapInArrow(run, "bucket long, h long")
+
+
+def met(places: DataFrame) -> DataFrame:
+    """(root, h): the sets of lines that share a bucket, each set once."""
+
+    def settle(bucket: np.ndarray, h: np.ndarray) -> pa.RecordBatch:
+        new = np.append(True, (bucket[1:] != bucket[:-1]) | (h[1:] != h[:-1]))
+        bucket, h = bucket[new], h[new]
+        starts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+        sizes = np.diff(np.append(starts, len(bucket)))
+        with np.errstate(over="ignore"):
+            mixed = h.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+            mixed = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+            root = np.add.reduceat(mixed ^ (mixed >> np.uint64(32)), starts)
+        several = np.repeat(sizes > 1, sizes)
+        pairs = np.unique(np.stack((np.repeat(root, sizes)[several].view(np.int64), h[several]), axis=1), axis=0)
+        return pa.record_batch([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["root", "h"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []  # the bucket that may go on in the next batch
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append((np.asarray(batch.column(0)), np.asarray(batch.column(1))))
+            if held[-1][0][-1] == held[0][0][0]:
+                continue
+            bucket, h = (np.concatenate(x) for x in zip(*held, strict=True))
+            cut = int(np.searchsorted(bucket, bucket[-1]))
+            yield settle(bucket[:cut], h[:cut])
+            held = [(bucket[cut:], h[cut:])]
+        if held:
+            yield settle(*(np.concatenate(x) for x in zip(*held, strict=True)))
+
+    dealt = places.repartition(shuffle_partitions(places.sparkSession), "bucket").sortWithinPartitions("bucket", "h")
+    return dealt.mapInArrow(run, "root long, h long").distinct()
+
+
+def edit_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = 0.8) -> DataFrame:
+    """(key, n, group, kept): as line_groups, but edit similarity alone links two lines that meet.
+
+    Lines meet by an equal band of minima of their grams; pairs of at most SHORT characters are
+    sure to meet (at a similarity of 0.8 or more).  Each set of lines that met is read in one run.
+    """
+    lines = stored(line_names(docs, key, text), "lines")
+    nodes = stored(lines.groupBy("h").agg(F.min(F.struct("key", "n")).alias("first")), "nodes")
+    asked = met(meeting_places(docs, key, text)).join(nodes, "h").select("root", "h", F.lit(0).cast("long").alias("sim"), "first")
+    found = stored(verified(members(docs, asked, key, text), 0, similarity).filter("h != group").distinct(), "line-links")
+    groups = components(found.select(F.col("h").alias("a"), F.col("group").alias("b"))).select(F.col("node").alias("h"), F.col("root").alias("group"))
+    return first_kept(lines, nodes, groups, key)
+
+
+def members(docs: DataFrame, asked: DataFrame, key: str, text: str) -> DataFrame:
+    """(root, h, sim, line): texts of the nodes' first occurrences, found again by document and line number."""
     wanted = asked.groupBy(F.col("first.key").alias("key")).agg(F.collect_list(F.struct("root", "h", "sim", F.col("first.n").alias("n"))).alias("wanted"))
     texts = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     met = texts.join(wanted, texts["key"].eqNullSafe(wanted["key"])).select("text", "wanted")
     met = met.select(F.split("text", "\n", -1).alias("parts"), F.explode("wanted").alias("w"))
-    members = met.select("w.root", "w.h", "w.sim", F.coalesce(F.get("parts", F.col("w.n")), F.lit("")).alias("line")).dropDuplicates(["root", "h"])
-    groups = verified(members, radius, similarity)
+    return met.select("w.root", "w.h", "w.sim", F.coalesce(F.get("parts", F.col("w.n")), F.lit("")).alias("line")).dropDuplicates(["root", "h"])
+
+
+def first_kept(lines: DataFrame, nodes: DataFrame, groups: DataFrame, key: str) -> DataFrame:
     firsts = nodes.join(groups, "h", "left").select("h", "first", F.coalesce("group", "h").alias("group"))
     least = firsts.groupBy("group").agg(F.min("first").alias("stays"))
     told = stored(firsts.join(least, "group").select("h", "group", "stays"), "line-groups")

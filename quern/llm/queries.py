@@ -33,7 +33,7 @@ def op1_toxicity_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document the numbers of the lines that fuzzy line de-duplication drops."""
     docs = table(spark, sf_dir, "documents")
-    return linededup.line_report(linededup.line_groups(docs), docs)
+    return linededup.line_report(linededup.edit_groups(docs), docs)
 
 
 def op3_decontamination_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -357,3 +357,24 @@ def test_mixing_reaches_its_targets(spark, docs, odd, empty):
     assert mixed.columns == docs.columns and mixed.select("doc_id").distinct().count() == docs.count() < mixed.count()
     assert mixing.mixture(odd, labelled, targets)[0].count() == 8 and mixing.mix(odd, labelled, targets).count() >= 8
     assert mixing.mixture(empty, labelled, targets)[0].count() == 0 and mixing.mixture(docs, labelled.limit(0), targets)[0].count() == docs.count()
+
+
+def test_fuzzy_lines_by_edit_similarity_alone(spark, docs, odd, empty):
+    lines = {}
+    for r in docs.collect():
+        for n, line in enumerate(r["text"].split("\n")):
+            if words := linededup.normal_words(line):
+                lines.setdefault(b" ".join(words).decode(), []).append((r["doc_id"], n))
+    keys = list(lines)
+    near = np.zeros((len(keys), len(keys)), bool)
+    for i in range(len(keys)):
+        for j in range(i + 1):
+            near[i, j] = near[j, i] = linededup.similar(keys[i], keys[j], 0.8)
+    groups = {}
+    for k, root in zip(keys, settled(near), strict=True):
+        groups.setdefault(root, []).extend(lines[k])
+    found = linededup.edit_groups(docs)
+    assert {(r["doc_id"], r["n"]) for r in found.filter("not kept").collect()} == {x for g in groups.values() for x in sorted(g)[1:]}
+    short = [(1, "abcde fgh"), (2, "abxde fgh"), (3, "zzzz yyyy xx"), (4, "zzzz yyy xxq")]
+    assert linededup.edit_groups(spark.createDataFrame(short, "doc_id long, text string")).filter("kept").count() == 2
+    assert linededup.edit_groups(odd).filter("not kept").count() == 0 and linededup.edit_groups(empty).count() == 0
