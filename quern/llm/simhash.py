@@ -217,7 +217,7 @@ def wide_fingerprints(docs: DataFrame, key: str, text: str, width: int) -> DataF
         for batch in batches:
             found = np.zeros((batch.num_rows, 3), np.uint64)
             for row, t in enumerate(batch.column(1)):
-                hashes = shingle_hashes(t.as_py() or "", width)
+                hashes = np.unique(shingle_hashes(t.as_py() or "", width))  # of the set: repeats have no say
                 if len(hashes):
                     found[row] = [majority(spread(hashes, k)) for k in (1, 2, 3)]
             yield pa.record_batch([batch.column(0), *(pa.array(np.ascontiguousarray(found[:, k]).view(np.int64)) for k in range(3))], names=["id", "s0", "s1", "s2"])

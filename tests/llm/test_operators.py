@@ -111,6 +111,15 @@ def test_similar_documents_keep_one(spark):
     assert kept == set(range(30))
 
 
+def test_repeated_passages_do_not_decide_similarity(spark):
+    rng = random.Random(9)
+    shared = " ".join(f"s{k}" for k in range(24))
+    own = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(104)) for _ in range(8)]
+    rows = [(k, t + (" " + shared) * 20) for k, t in enumerate(own)]
+    kept = {r["doc_id"] for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept == set(range(8))
+
+
 def test_exact_dedup(spark, docs, odd, empty, tmp_path):
     rows = {r["doc_id"]: r for r in exactdedup.exact_duplicates(spark, f"{SF}/documents.parquet").collect()}
     texts = {r["doc_id"]: r["text"] for r in docs.collect()}
