@@ -192,130 +192,111 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", ra
     return prints.join(classes, "fp").select(F.col("id").alias(key), "fp", "component_id")
 
 
-PARTS, PART_BITS, PART_RADIUS = 6, 32, 3
+def needed(left: int, right: int, similarity: float) -> int:
+    """Shingles that two sets of these sizes share at least, if their Jaccard similarity is ``similarity``."""
+    from math import ceil
 
+    return ceil(similarity * (left + right) / (1 + similarity) - 1e-9)
 
-def bits_apart(similarity: float, bits: int) -> int:
-    """Expected differing bits of two shingle sets of this Jaccard similarity, and one deviation more."""
-    from math import acos, pi, sqrt
 
-    share = acos(2 * similarity / (1 + similarity)) / pi
-    return int(bits * share + sqrt(bits * share * (1 - share)))
+def shingle_sets(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
+    """(id, d0, d1): the 128-bit digest of the shingle set of every row; null text counts as empty."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        for batch in batches:
+            found = np.array([divmod(xxhash.xxh128_intdigest(np.unique(shingle_hashes(t.as_py() or "", width)).tobytes()), 1 << 64) for t in batch.column(1)], np.uint64).reshape(-1, 2)
+            yield pa.record_batch([batch.column(0), *(pa.array(np.ascontiguousarray(found[:, k]).view(np.int64)) for k in range(2))], names=["id", "d0", "d1"])
+
+    kind = docs.schema[key].dataType.simpleString()
+    return docs.select(F.col(key).alias("id"), F.col(text).alias("text")).mapInArrow(run, f"id {kind}, d0 long, d1 long")
 
-def wide_fingerprints(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
-    """(id, s0, s1, s2): SimHash of 192 bits, six independent parts of 32 bits."""
 
-    def spread(hashes: np.ndarray, k: int) -> np.ndarray:
-        with np.errstate(over="ignore"):
-            mixed = hashes + np.uint64(0x9E3779B97F4A7C15) * np.uint64(k)
-            mixed = (mixed ^ (mixed >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-            mixed = (mixed ^ (mixed >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-            return mixed ^ (mixed >> np.uint64(31))
+def prefixes(docs: DataFrame, width: int, similarity: float) -> DataFrame:
+    """(bucket, h) of documents (id, text): the least shingles of each set, in one order for all.
+
+    Of a set of n shingles the least n - ceil(similarity * n) + 1 are taken: two sets that reach
+    the similarity share ceil(similarity * n) at least and so one of these.  No pair is missed.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.zeros((batch.num_rows, 3), np.uint64)
-            for row, t in enumerate(batch.column(1)):
-                hashes = np.unique(shingle_hashes(t.as_py() or "", width))  # of the set: repeats have no say
-                if len(hashes):
-                    found[row] = [majority(spread(hashes, k)) for k in (1, 2, 3)]
-            yield pa.record_batch([batch.column(0), *(pa.array(np.ascontiguousarray(found[:, k]).view(np.int64)) for k in range(3))], names=["id", "s0", "s1", "s2"])
+            taken = []
+            for t in batch.column(1):
+                hashes = np.unique(shingle_hashes(t.as_py() or "", width))
+                taken.append(hashes[: len(hashes) - int(np.ceil(similarity * len(hashes) - 1e-9)) + 1])
+            sizes = [len(x) for x in taken]
+            buckets = np.concatenate(taken) if taken else np.empty(0, np.uint64)
+            yield pa.record_batch([pa.array(buckets.view(np.int64)), batch.column(0).take(pa.array(np.repeat(np.arange(len(sizes)), sizes)))], names=["bucket", "h"])
 
-    kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key).alias("id"), F.col(text).alias("text")).mapInArrow(run, f"id {kind}, s0 long, s1 long, s2 long")
+    return docs.select(F.col("id").cast("long"), "text").mapInArrow(run, "bucket long, h long")
 
 
-def _wide_linker(most: int):
-    def apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64)
+def exact_links(members: DataFrame, width: int, similarity: float) -> DataFrame:
+    """(a, b) of members (root, h, text): edges of the link graph of the exact Jaccard similarity in each root.
 
-    def forest(rep: np.ndarray, sig: np.ndarray) -> tuple[list, list]:
-        left, right, rest = [], [], np.arange(len(rep))
+    Each document found is compared on, and documents once linked are compared no more.
+    """
+
+    def settle(names: list[int], sets: list[np.ndarray]) -> tuple[list[int], list[int]]:
+        order = sorted(range(len(names)), key=lambda k: len(sets[k]))
+        names, sets = [names[k] for k in order], [sets[k] for k in order]
+        sizes = np.array([len(x) for x in sets])
+        rest, left, right = np.arange(len(names)), [], []
         while len(rest) > 1:
-            todo, rest = [rest[0]], rest[1:]
+            todo, rest = [int(rest[0])], rest[1:]
             while todo and len(rest):
                 at = todo.pop()
-                near = apart(sig[rest], sig[at]) <= most
-                if near.any():
-                    found = rest[near]
-                    left.append(np.full(len(found), rep[at]))
-                    right.append(rep[found])
-                    todo.extend(found.tolist())
-                    rest = rest[~near]
+                fits = rest[(np.minimum(sizes[rest], sizes[at]) >= similarity * np.maximum(sizes[rest], sizes[at]) - 1e-9)]
+                found = []
+                for k in fits.tolist():
+                    place = np.searchsorted(sets[k], sets[at])
+                    place[place == sizes[k]] = 0
+                    if np.count_nonzero(sets[k][place] == sets[at]) >= needed(int(sizes[k]), int(sizes[at]), similarity):
+                        found.append(k)
+                if found:
+                    rest = rest[~np.isin(rest, found)]
+                    todo += found
+                    left += [names[at]] * len(found)
+                    right += [names[k] for k in found]
         return left, right
 
-    def settle(tk: np.ndarray, rep: np.ndarray, sig: np.ndarray) -> pa.RecordBatch:
-        starts = np.concatenate(([0], np.flatnonzero(tk[1:] != tk[:-1]) + 1))
-        sizes = np.diff(np.concatenate((starts, [len(tk)])))
-        run = np.repeat(np.arange(len(starts)), sizes)
-        small = sizes[run] <= 16
-        left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-        for d in range(1, 16):  # within short runs every pair is looked at, all runs at once
-            at = np.flatnonzero(small[:-d] & (run[d:] == run[:-d])) if len(tk) > d else np.empty(0, np.int64)
-            if not len(at):
-                break
-            at = at[apart(sig[at], sig[at + d]) <= most]
-            left.append(rep[at])
-            right.append(rep[at + d])
-        for k in np.flatnonzero(sizes > 16):
-            part = slice(starts[k], starts[k] + sizes[k])
-            a, b = forest(rep[part], sig[part])
-            left += a
-            right += b
-        a, b = np.concatenate(left), np.concatenate(right)
-        pairs = np.unique(np.stack((np.minimum(a, b), np.maximum(a, b)), axis=1), axis=0)
-        return pa.record_batch([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
+        root, names, sets = None, [], []
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            tk, rep = np.asarray(batch.column(0)), np.asarray(batch.column(1))
-            sig = np.stack([np.asarray(batch.column(k)) for k in (2, 3, 4)], axis=1).view(np.uint64)
-            held.append((tk, rep, sig))
-            if len(held) > 1 and tk[-1] == held[0][0][-1]:
-                continue  # the batch belongs to the open run as a whole
-            tk, rep, sig = (np.concatenate(x) for x in zip(*held, strict=True))
-            cut = len(tk) - int(np.argmax(np.append((tk != tk[-1])[::-1], True)))
-            if cut:
-                yield settle(tk[:cut], rep[:cut], sig[:cut])
-            held = [(tk[cut:], rep[cut:], sig[cut:])]
-        if held:
-            yield settle(*(np.concatenate(x) for x in zip(*held, strict=True)))
-
-    return run
-
-
-def similar_links(prints: DataFrame, similarity: float) -> DataFrame:
-    """(a, b) of ``rep``: links of signatures whose distance says ``similarity`` or more.
-
-    Covering masks of radius 3 over each 32-bit part: a pair that differs in at most 23 of the 192
-    bits has a part with at most 3 of them and is sure to meet; pairs further apart, up to the
-    accepted distance, meet whenever any part has at most 3, or by chance beyond.
-    """
-    masks = covering_masks(PART_RADIUS, PART_BITS)
-    parts = []
-    for p in range(PARTS):
-        value = F.shiftrightunsigned(f"s{p // 2}", 32 * (p % 2)).bitwiseAND(F.lit(0xFFFFFFFF))
-        parts += [F.shiftleft(value.bitwiseAND(F.lit(m)), 8).bitwiseOR(F.lit(p * len(masks) + t)) for t, m in enumerate(masks)]
-    rows = prints.select(F.explode(F.array(*parts)).alias("tk"), "rep", "s0", "s1", "s2")
-    dealt = rows.repartition(shuffle_partitions(prints.sparkSession), "tk").sortWithinPartitions("tk")
-    return dealt.mapInArrow(_wide_linker(bits_apart(similarity, PARTS * PART_BITS)), "a long, b long").distinct()
+            left, right = [], []
+            for r, h, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                if r != root:
+                    a, b = settle(names, sets)
+                    left += a
+                    right += b
+                    root, names, sets = r, [], []
+                names.append(h)
+                sets.append(np.unique(shingle_hashes(t.as_py() or "", width)))
+            yield pa.record_batch([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
+        a, b = settle(names, sets)
+        yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    dealt = members.repartition(shuffle_partitions(members.sparkSession), "root").sortWithinPartitions("root", "h")
+    return dealt.select("root", "h", "text").mapInArrow(run, "a long, b long").distinct()
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
     """One document, that with the least key, of each class of similar documents; all its columns.
 
     Classes are the components of links between documents whose sets of ``width``-word shingles
-    have, by their 192-bit SimHash, a Jaccard similarity of ``similarity`` or more.  Keys must be
+    have a Jaccard similarity of ``similarity`` or more; every such pair is found.  Keys must be
     integers.  Rows that repeat a key stay or go together; rows with a null key stay.
     """
-    prints = stored(wide_fingerprints(docs.filter(F.col(key).isNotNull()), key, text, width), "wide-prints")
-    sig = ["s0", "s1", "s2"]
-    reps = stored(prints.groupBy(*sig).agg(F.min("id").cast("long").alias("rep")), "wide-reps")
-    found = components(similar_links(reps, similarity))
+    from quern.llm.linededup import met
+
+    named = docs.filter(F.col(key).isNotNull())
+    prints = shingle_sets(named, key, text, width)
+    reps = stored(prints.groupBy("d0", "d1").agg(F.min("id").cast("long").alias("rep")).select("rep").distinct(), "set-reps")
+    texts = named.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).join(reps, F.col("id") == F.col("rep"), "left_semi")
+    pairs = stored(met(prefixes(texts, width, similarity)), "set-meetings")
+    found = components(stored(exact_links(pairs.join(texts, pairs["h"] == texts["id"]).select("root", "h", "text"), width, similarity), "set-links"))
     rooted = reps.join(found.withColumnRenamed("node", "rep"), "rep", "left").filter(F.col("root").isNull() | (F.col("root") == F.col("rep")))
     kept = rooted.select(F.col("rep").alias("_kept"))
     return docs.filter(F.col(key).isNull()).unionByName(docs.join(kept, docs[key] == kept["_kept"], "left_semi"))

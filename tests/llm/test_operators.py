@@ -111,6 +111,18 @@ def test_similar_documents_keep_one(spark):
     assert kept == set(range(30))
 
 
+def test_keep_one_decides_by_exact_similarity(spark):
+    rng = random.Random(10)
+    rows = []
+    for k in range(40):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(404)]
+        rows.append((k, " ".join(words)))
+        # 45 shingles differ: 355 of 445 are shared (0.798); 44 differ: 356 of 444 (0.802)
+        rows.append((100 + k, " ".join(words[: 404 - 45 + k % 2] + [f"n{rng.randrange(10**6)}" for _ in range(45 - k % 2)])))
+    kept = {r["doc_id"] for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept == set(range(40)) | {100 + k for k in range(0, 40, 2)}
+
+
 def test_repeated_passages_do_not_decide_similarity(spark):
     rng = random.Random(9)
     shared = " ".join(f"s{k}" for k in range(24))
