@@ -60,6 +60,14 @@ def test_byte_pairs_round_trip_and_determinism(spark):
     assert tokenizer.BytePairs.from_json(model.to_json()).merges == model.merges
 
 
+def test_byte_pairs_are_learned_from_all_words(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "aa aa aa xyz xyw xyv xyu")], "doc_id long, text string")
+    limit = type(docs).limit
+    monkeypatch.setattr(type(docs), "limit", lambda self, n: limit(self, 2))  # as of a table with more words than any limit
+    words = {r["word"]: r["freq"] for r in tokenizer.word_frequency(docs).collect()}
+    assert len(words) > 2 and tokenizer.train(docs, merges=5).merges == tokenizer.learn(words, 5).merges
+
+
 def test_pre_split_is_lossless(spark):
     texts = ["It's  a\ttest—don't  stop", "x_y 12 é日本!?  "]
     out = spark.createDataFrame([(t,) for t in texts], "t string").select(F.array_join(tokenizer.pre_split(F.col("t")), "")).collect()
