@@ -20,8 +20,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import shuffle_partitions, stored
+from quern.llm.common import discard, stored
 from quern.llm.components import components
+from quern.llm.groups import band_keys, linked, met, minima, mixed, odd_factors
 
 BITS = 64
 #: Runs beyond this many fingerprints are first cut by blocks of their open bits.
@@ -172,7 +173,7 @@ def near_links(prints: DataFrame, radius: int = 4) -> DataFrame:
     masks = covering_masks(radius)
     tables = F.explode(F.array(*[F.struct(F.lit(t).cast("short").alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m)).cast("long")).alias("k")) for t, m in enumerate(masks)]))
     rows = prints.select("fp", tables.alias("x")).select(F.col("x.t").alias("t"), F.col("x.k").alias("k"), "fp")
-    dealt = rows.repartition(shuffle_partitions(prints.sparkSession), "t", "k").sortWithinPartitions("t", "k", "fp")
+    dealt = rows.repartition("t", "k").sortWithinPartitions("t", "k", "fp")
     return dealt.mapInArrow(_linker(radius), "a long, b long").distinct()
 
 
@@ -192,111 +193,122 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", ra
     return prints.join(classes, "fp").select(F.col("id").alias(key), "fp", "component_id")
 
 
-def needed(left: int, right: int, similarity: float) -> int:
-    """Shingles that two sets of these sizes share at least, if their Jaccard similarity is ``similarity``."""
-    from math import ceil
+#: Bands of minima and minima in each, for pairs of a similarity threshold.
+BANDS, WIDTH = 24, 6
+FACTORS = odd_factors(BANDS * WIDTH, 2)
+#: How far below the threshold the share of equal minima may lie: 4.5 standard errors at 0.8.
+SLACK = 0.15
 
-    return ceil(similarity * (left + right) / (1 + similarity) - 1e-9)
 
+def set_sketches(docs: DataFrame, key: str, text: str, width: int, radius: int) -> DataFrame:
+    """(id, d0, d1, places, sketch): digest of each row's set of shingles, where it may meet others, low bytes of its minima.
 
-def shingle_sets(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
-    """(id, d0, d1): the 128-bit digest of the shingle set of every row; null text counts as empty."""
+    A set meets others in the covering tables of its fingerprint and in its bands.  Sets that
+    came before in the same batch have no places; a text without words is an empty set.
+    """
+    masks = np.array(covering_masks(radius), np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         for batch in batches:
-            found = np.array([divmod(xxhash.xxh128_intdigest(np.unique(shingle_hashes(t.as_py() or "", width)).tobytes()), 1 << 64) for t in batch.column(1)], np.uint64).reshape(-1, 2)
-            yield pa.record_batch([batch.column(0), *(pa.array(np.ascontiguousarray(found[:, k]).view(np.int64)) for k in range(2))], names=["id", "d0", "d1"])
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                sets = [np.unique(shingle_hashes(t.as_py() or "", width)) for t in part.column(1)]
+                sets = [x if len(x) else np.zeros(1, np.uint64) for x in sets]
+                digests = np.array([divmod(xxhash.xxh128_intdigest(x.tobytes()), 1 << 64) for x in sets], np.uint64).reshape(-1, 2)
+                sizes = np.array([len(x) for x in sets])
+                least = minima(np.concatenate(sets), np.cumsum(sizes) - sizes, FACTORS)
+                prints = np.array([majority(x) for x in sets], np.uint64)
+                with np.errstate(over="ignore"):
+                    tables = mixed((prints[:, None] & masks) * np.uint64(0x9E3779B97F4A7C15) + np.arange(7, 7 + len(masks), dtype=np.uint64))
+                places = np.concatenate((band_keys(least, WIDTH, 3000), tables), axis=1)
+                _, first = np.unique(digests, axis=0, return_index=True)
+                fresh = np.zeros(len(sets), bool)
+                fresh[first] = True
+                ends = pa.array(np.concatenate(([0], np.cumsum(fresh * places.shape[1]))), pa.int32())
+                lists = pa.ListArray.from_arrays(ends, pa.array(places[fresh].ravel().view(np.int64)))
+                sketch = pa.array([x.tobytes() if new else None for x, new in zip(least.astype(np.uint8), fresh, strict=True)], pa.binary())
+                yield pa.record_batch([part.column(0), *(pa.array(np.ascontiguousarray(digests[:, k]).view(np.int64)) for k in range(2)), lists, sketch], names=["id", "d0", "d1", "places", "sketch"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key).alias("id"), F.col(text).alias("text")).mapInArrow(run, f"id {kind}, d0 long, d1 long")
-
+    rows = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
+    return rows.mapInArrow(run, f"id {kind}, d0 long, d1 long, places array<long>, sketch binary")
 
-def prefixes(docs: DataFrame, width: int, similarity: float) -> DataFrame:
-    """(bucket, h) of documents (id, text): the least shingles of each set, in one order for all.
 
-    Of a set of n shingles the least n - ceil(similarity * n) + 1 are taken: two sets that reach
-    the similarity share ceil(similarity * n) at least and so one of these.  No pair is missed.
-    """
+def like_sketches(least: float):
+    """Preparation and neighbours of sketches: a share of equal bytes of ``least`` or more."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            taken = []
-            for t in batch.column(1):
-                hashes = np.unique(shingle_hashes(t.as_py() or "", width))
-                taken.append(hashes[: len(hashes) - int(np.ceil(similarity * len(hashes) - 1e-9)) + 1])
-            sizes = [len(x) for x in taken]
-            buckets = np.concatenate(taken) if taken else np.empty(0, np.uint64)
-            yield pa.record_batch([pa.array(buckets.view(np.int64)), batch.column(0).take(pa.array(np.repeat(np.arange(len(sizes)), sizes)))], names=["bucket", "h"])
+    def prepare(payload: list[bytes]) -> np.ndarray:
+        return np.frombuffer(b"".join(payload), np.uint8).reshape(len(payload), -1)
 
-    return docs.select(F.col("id").cast("long"), "text").mapInArrow(run, "bucket long, h long")
+    def near(items: np.ndarray, at: int, rest: np.ndarray) -> np.ndarray:
+        return rest[(items[rest] == items[at]).mean(axis=1) >= least]
 
+    return prepare, near
 
-def exact_links(members: DataFrame, width: int, similarity: float) -> DataFrame:
-    """(a, b) of members (root, h, text): edges of the link graph of the exact Jaccard similarity in each root.
 
-    Each document found is compared on, and documents once linked are compared no more.
-    """
+def like_sets(width: int, similarity: float):
+    """Preparation and neighbours of texts: a Jaccard similarity of their shingle sets of ``similarity`` or more."""
 
-    def settle(names: list[int], sets: list[np.ndarray]) -> tuple[list[int], list[int]]:
-        order = sorted(range(len(names)), key=lambda k: len(sets[k]))
-        names, sets = [names[k] for k in order], [sets[k] for k in order]
+    def prepare(payload: list[str]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+        sets = [np.unique(shingle_hashes(t, width)) for t in payload]
+        sets = [x if len(x) else np.zeros(1, np.uint64) for x in sets]
         sizes = np.array([len(x) for x in sets])
-        rest, left, right = np.arange(len(names)), [], []
-        while len(rest) > 1:
-            todo, rest = [int(rest[0])], rest[1:]
-            while todo and len(rest):
-                at = todo.pop()
-                fits = rest[(np.minimum(sizes[rest], sizes[at]) >= similarity * np.maximum(sizes[rest], sizes[at]) - 1e-9)]
-                found = []
-                for k in fits.tolist():
-                    place = np.searchsorted(sets[k], sets[at])
-                    place[place == sizes[k]] = 0
-                    if np.count_nonzero(sets[k][place] == sets[at]) >= needed(int(sizes[k]), int(sizes[at]), similarity):
-                        found.append(k)
-                if found:
-                    rest = rest[~np.isin(rest, found)]
-                    todo += found
-                    left += [names[at]] * len(found)
-                    right += [names[k] for k in found]
-        return left, right
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        root, names, sets = None, [], []
-        for batch in batches:
-            left, right = [], []
-            for r, h, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                if r != root:
-                    a, b = settle(names, sets)
-                    left += a
-                    right += b
-                    root, names, sets = r, [], []
-                names.append(h)
-                sets.append(np.unique(shingle_hashes(t.as_py() or "", width)))
-            yield pa.record_batch([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
-        a, b = settle(names, sets)
-        yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-    dealt = members.repartition(shuffle_partitions(members.sparkSession), "root").sortWithinPartitions("root", "h")
-    return dealt.select("root", "h", "text").mapInArrow(run, "a long, b long").distinct()
-
-
-def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
+        return sets, sizes, minima(np.concatenate(sets), np.cumsum(sizes) - sizes, FACTORS)
+
+    def near(items: tuple[list[np.ndarray], np.ndarray, np.ndarray], at: int, rest: np.ndarray) -> np.ndarray:
+        sets, sizes, least = items
+        rest = rest[np.minimum(sizes[rest], sizes[at]) >= similarity * np.maximum(sizes[rest], sizes[at]) - 1e-9]
+        rest = rest[(least[rest] == least[at]).mean(axis=1) >= similarity - SLACK]
+        found = []
+        for k in rest.tolist():
+            place = np.searchsorted(sets[k], sets[at])
+            place[place == sizes[k]] = 0
+            both = np.count_nonzero(sets[k][place] == sets[at])
+            if both >= similarity * (sizes[k] + sizes[at] - both) - 1e-9:
+                found.append(k)
+        return np.array(found, np.int64)
+
+    return prepare, near
+
+
+def similar_sets(docs: DataFrame, key: str, text: str, width: int, similarity: float, radius: int) -> tuple[DataFrame, DataFrame]:
+    """(rows (id, d0, d1), classes (d0, d1, root)): the shingle set of every row, and the class of the sets that have similar ones."""
+    rows = stored(set_sketches(docs, key, text, width, radius), "sets")
+    nodes = rows.filter("sketch is not null").groupBy("d0", "d1").agg(F.min("id").alias("id"), F.first("sketch").alias("payload"))
+    nodes = stored(nodes.withColumn("node", F.monotonically_increasing_id()), "set-nodes")
+    asked = met(rows.select(F.explode("places").alias("bucket"), F.col("d0").alias("h")))
+    met_sets = stored(asked.join(nodes, F.col("h") == F.col("d0")).select("root", F.col("node").alias("h"), "payload"), "met")
+    # what shares many minima is read together, each text once
+    close = components(linked(met_sets, *like_sketches(similarity - SLACK)))
+    chosen = stored(nodes.join(close, "node").select("root", "node", "d0", "d1", "id"), "close")
+    wanted = chosen.select(F.col("id").alias("_id"), "root", "node", "d0", "d1")
+    texts = docs.select(F.col(key).alias("_key"), F.col(text).alias("payload")).join(wanted, F.col("_key") == F.col("_id"))
+    members = stored(texts.select("root", F.col("node").alias("h"), F.coalesce("payload", F.lit("")).alias("payload")).dropDuplicates(["root", "h"]), "members")
+    found = components(linked(members, *like_sets(width, similarity)))
+    classes = stored(chosen.select("node", "d0", "d1").join(found, "node").select("d0", "d1", F.col("root")), "set-classes")
+    for table in (met_sets, members, chosen):
+        discard(table)
+    return rows.select("id", "d0", "d1"), classes
+
+
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, similarity: float = 0.8, radius: int = 4) -> DataFrame:
     """One document, that with the least key, of each class of similar documents; all its columns.
 
     Classes are the components of links between documents whose sets of ``width``-word shingles
-    have a Jaccard similarity of ``similarity`` or more; every such pair is found.  Keys must be
-    integers.  Rows that repeat a key stay or go together; rows with a null key stay.
+    have a Jaccard similarity of ``similarity`` or more, decided on the exact sets.  Documents meet in the covering
+    tables of their fingerprints, where every pair within ``radius`` bits does, and in bands of
+    minima: a similarity of 0.8 lies about ten of 64 bits apart, beyond what covering tables can
+    promise, and meets in a band with a probability of 0.999.
+
+    Texts without words (null ones too) are one class.  Equal texts are one set, whatever their number.
+    Rows that repeat a key stay or go together; rows with a null key stay.  Texts of any length
+    count whole; extra columns are kept; an empty table gives an empty result.
     """
-    from quern.llm.linededup import met
-
     named = docs.filter(F.col(key).isNotNull())
-    prints = shingle_sets(named, key, text, width)
-    reps = stored(prints.groupBy("d0", "d1").agg(F.min("id").cast("long").alias("rep")).select("rep").distinct(), "set-reps")
-    texts = named.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).join(reps, F.col("id") == F.col("rep"), "left_semi")
-    pairs = stored(met(prefixes(texts, width, similarity)), "set-meetings")
-    found = components(stored(exact_links(pairs.join(texts, pairs["h"] == texts["id"]).select("root", "h", "text"), width, similarity), "set-links"))
-    rooted = reps.join(found.withColumnRenamed("node", "rep"), "rep", "left").filter(F.col("root").isNull() | (F.col("root") == F.col("rep")))
-    kept = rooted.select(F.col("rep").alias("_kept"))
+    rows, classes = similar_sets(named, key, text, width, similarity, radius)
+    tokens = rows.groupBy("d0", "d1").agg(F.min("id").alias("id"))
+    roots = tokens.join(classes, ["d0", "d1"], "left").select("id", F.coalesce(F.col("root"), -1 - F.monotonically_increasing_id()).alias("root"))
+    kept = stored(roots.groupBy("root").agg(F.min("id").alias("_kept")).select("_kept").distinct(), "kept")
     return docs.filter(F.col(key).isNull()).unionByName(docs.join(kept, docs[key] == kept["_kept"], "left_semi"))
