@@ -1,6 +1,6 @@
 """Candidate groups and the links inside them, for groups of any size.
 
-``met`` turns (bucket, h) rows into the sets of items that share a bucket.  ``linked`` compares
+``met`` turns (bucket, h) rows into sets of items that share buckets.  ``linked`` compares
 the items of each set by a given test and returns links whose components are those of all pairs
 that pass it.  No set is read whole by one task beyond a fixed size: larger ones are dealt
 into parts; each part is settled alone, one leader of each part is compared with all
@@ -20,9 +20,7 @@ from quern.llm.common import stored
 from quern.llm.components import components
 
 #: Members and payload bytes of a part, at most about.
-MOST, MOST_BYTES = 4096, 16 << 20
-#: A bucket beyond this many items is passed on as it is read, under its own name.
-HELD = 1 << 18
+MOST, MOST_BYTES = 1024, 16 << 20
 
 
 def minima(hashes: np.ndarray, starts: np.ndarray, factors: np.ndarray) -> np.ndarray:
@@ -58,44 +56,34 @@ def band_keys(least: np.ndarray, width: int, name: int) -> np.ndarray:
 
 
 def met(places: DataFrame) -> DataFrame:
-    """(root, h): the sets of two and more different ``h`` of (bucket, h) that share a bucket, each set once."""
-
-    def settle(bucket: np.ndarray, h: np.ndarray) -> pa.RecordBatch:
-        new = np.append(True, (bucket[1:] != bucket[:-1]) | (h[1:] != h[:-1]))
-        bucket, h = bucket[new], h[new]
-        starts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
-        sizes = np.diff(np.append(starts, len(bucket)))
-        with np.errstate(over="ignore"):
-            root = np.add.reduceat(mixed(h.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), starts)
-        several = np.repeat(sizes > 1, sizes)
-        pairs = np.unique(np.stack((np.repeat(root, sizes)[several].view(np.int64), h[several]), axis=1), axis=0)
-        return pa.record_batch([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["root", "h"])
+    """(root, h): what shares a bucket of (bucket, h), under the bucket's least ``h``; each (root, h) once.
+
+    Two items of one bucket share its root, so no pair is lost; buckets with one item have no rows.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []  # the bucket that may go on in the next batch
-        wide = None  # the name of a wide bucket that has been passed on in part
+        last, root, alone = None, 0, True  # the bucket that may go on, its least item, whether that is its only one
         for batch in batches:
             bucket, h = np.asarray(batch.column(0)), np.asarray(batch.column(1))
-            if wide is not None:
-                cut = int(np.searchsorted(bucket, wide, "right"))
-                yield pa.record_batch([pa.array(np.full(cut, wide)), pa.array(h[:cut])], names=["root", "h"])
-                bucket, h = bucket[cut:], h[cut:]
-                wide = wide if not len(h) else None
             if not len(h):
                 continue
-            held.append((bucket, h))
-            if held[-1][0][-1] != held[0][0][0]:
-                bucket, h = (np.concatenate(x) for x in zip(*held, strict=True))
-                cut = int(np.searchsorted(bucket, bucket[-1]))
-                yield settle(bucket[:cut], h[:cut])
-                held = [(bucket[cut:], h[cut:])]
-            elif sum(len(x[1]) for x in held) > HELD:
-                wide = held[0][0][0]
-                for _, part in held:
-                    yield pa.record_batch([pa.array(np.full(len(part), wide)), pa.array(part)], names=["root", "h"])
-                held = []
-        if held:
-            yield settle(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            new = np.append(True, bucket[1:] != bucket[:-1])
+            goes_on = last is not None and bucket[0] == last
+            starts = np.flatnonzero(new)
+            least = h[starts]
+            if goes_on:
+                least[0] = root
+            sizes = np.diff(np.append(starts, len(h)))
+            roots = np.repeat(least, sizes)
+            other = h != roots
+            several = np.logical_or.reduceat(other, starts)
+            a, b = [roots[other], least[several]], [h[other], least[several]]
+            if goes_on and several[0] and not alone:  # its root was told before
+                a[1], b[1] = a[1][1:], b[1][1:]
+            alone = not several[-1] and (len(starts) > 1 or not goes_on or alone)
+            last, root = bucket[-1], least[-1]
+            pairs = np.unique(np.stack((np.concatenate(a), np.concatenate(b)), axis=1), axis=0)
+            yield pa.record_batch([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["root", "h"])
 
     return places.repartition("bucket").sortWithinPartitions("bucket", "h").mapInArrow(run, "root long, h long").distinct()
 

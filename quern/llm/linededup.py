@@ -19,7 +19,6 @@ occurrence in (document, line) order stays.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -30,10 +29,10 @@ from quern.llm.common import discard, stored
 from quern.llm.components import components
 from quern.llm.groups import band_keys, linked, met, minima, mixed, odd_factors
 
-DIGITS = bytes.maketrans(b"123456789", b"000000000")
-REMEMBERED = 200_000
+#: Digits to 0, white space but line ends to blanks.
+NORMAL = bytes.maketrans(b"123456789\t\r\x0b\x0c", b"000000000    ")
 #: Bands of minima, and minima in each over words and over grams; bytes of a gram; bytes of a word that counts.
-BANDS, WORD_WIDTH, GRAM_WIDTH, GRAM, LONG_WORD = 18, 6, 4, 6, 4
+BANDS, WORD_WIDTH, GRAM_WIDTH, GRAM, LONG_WORD = 12, 5, 4, 6, 4
 FACTORS = odd_factors(BANDS * WORD_WIDTH, 1)
 #: Lines with fewer counting words than the second have grams; those with as many as the first have words.
 WORDS_FROM, GRAMS_BELOW = 8, 12
@@ -41,8 +40,8 @@ WORDS_FROM, GRAMS_BELOW = 8, 12
 SHORT = 14
 #: The two blocks of a SimHash.
 BLOCKS = np.array([0xFFFFFFFF, 0xFFFFFFFF << 32], np.uint64)
-#: Bytes of lines whose features are worked out together.
-PIECE = 1 << 17
+#: Characters of texts that are worked on together.
+PIECE = 1 << 18
 
 
 def similar(a: str, b: str, least: float) -> bool:
@@ -53,7 +52,27 @@ def similar(a: str, b: str, least: float) -> bool:
     allowed = int((1 - least) * longer + 1e-9)
     if abs(len(a) - len(b)) > allowed:
         return False
-    return distance(a, b, allowed) <= allowed
+    return aligned(a.split(" "), b.split(" ")) <= allowed or distance(a, b, allowed) <= allowed
+
+
+def aligned(a: list[str], b: list[str]) -> int:
+    """An upper bound of the edit distance: words are matched in order, what lies between is replaced."""
+    at, cost, n, m = 0, 0, len(a), len(b)
+    to = 0
+    while at < n and to < m:
+        if a[at] == b[to]:
+            at, to = at + 1, to + 1
+            continue
+        for ahead in range(1, 4):  # the next words that agree, a few ahead at most
+            step = next(((i, ahead - i) for i in range(ahead + 1) if at + i < n and to + ahead - i < m and a[at + i] == b[to + ahead - i]), None)
+            if step:
+                break
+        else:
+            step = (1, 1)
+        gone, come = sum(map(len, a[at : at + step[0]])) + step[0], sum(map(len, b[to : to + step[1]])) + step[1]
+        cost += max(gone, come)
+        at, to = at + step[0], to + step[1]
+    return cost + max(sum(map(len, a[at:])) + n - at, sum(map(len, b[to:])) + m - to)
 
 
 def distance(a: str, b: str, allowed: int) -> int:
@@ -93,35 +112,61 @@ def distance(a: str, b: str, allowed: int) -> int:
     return score
 
 
-def normal_lines(text: str | None) -> Iterator[tuple[int, list[bytes]]]:
-    """(number, words) of the normalised lines that have words."""
-    for n, line in enumerate((text or "").lower().encode("utf-8", "replace").translate(DIGITS).split(b"\n")):
-        if words := line.split():
-            yield n, words
+def normal_lines(texts: list[str | None]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The normalised lines that have words, the text of each and its number there."""
+    data = "\n".join(t or "" for t in texts).lower().encode("utf-8", "replace").translate(NORMAL)
+    while b"  " in data:
+        data = data.replace(b"  ", b" ")
+    lines = data.replace(b" \n", b"\n").replace(b"\n ", b"\n").strip(b" ").split(b"\n")
+    counts = np.array([(t or "").count("\n") + 1 for t in texts])
+    rows = np.repeat(np.arange(len(texts)), counts)
+    numbers = np.arange(len(lines)) - np.repeat(np.cumsum(counts) - counts, counts)
+    has = np.fromiter(map(bool, lines), bool, len(lines))
+    return [x for x in lines if x], rows[has], numbers[has]
+
+
+def pieces(column: pa.Array) -> Iterator[tuple[int, list[str | None]]]:
+    """Texts of a column in runs of about PIECE characters, with the place of the first."""
+    held, size, at = [], 0, 0
+    for k, t in enumerate(column):
+        held.append(t.as_py())
+        size += len(held[-1] or "")
+        if size > PIECE:
+            yield at, held
+            held, size, at = [], 0, k + 1
+    if held:
+        yield at, held
+
+
+def digests(lines: list[bytes]) -> np.ndarray:
+    """A row of two numbers, h and g, for each line."""
+    import xxhash
+
+    digest = xxhash.xxh3_128_digest
+    return np.frombuffer(b"".join([digest(x) for x in lines]), ">i8").reshape(-1, 2).astype(np.int64)
 
 
 def shortened(line: str) -> set[str]:
     """What deletions leave of a line of at most SHORT characters: two such lines of edit similarity 0.8 share one."""
-    return {"".join(c for k, c in enumerate(line) if k not in gone) for d in range(min(2, len(line) // 4) + 1) for gone in combinations(range(len(line)), d)}
+    out = last = {line}
+    for _ in range(min(2, len(line) // 4)):
+        last = {x[:k] + x[k + 1 :] for x in last for k in range(len(x))}
+        out = out | last
+    return out
 
 
-def feature_places(hashes: np.ndarray, starts: np.ndarray, width: int, name: int) -> np.ndarray:
+def feature_places(hashes: np.ndarray, sizes: np.ndarray, width: int, name: int) -> np.ndarray:
     """A row of keys for each run of feature hashes: its bands of ``width`` minima and the blocks of its SimHash."""
-    sizes = np.diff(np.append(starts, len(hashes)))
+    starts = np.cumsum(sizes) - sizes
     bits = np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    ones = np.add.reduceat(bits, starts, axis=0, dtype=np.int32)
-    prints = np.packbits(2 * ones > sizes[:, None], axis=1, bitorder="little").view("<u8")
+    kind = np.uint8 if sizes.max() < 256 else np.int32
+    ones = np.add.reduceat(bits, starts, axis=0, dtype=kind)
+    prints = np.packbits(ones > (sizes // 2)[:, None], axis=1, bitorder="little").view("<u8")
     with np.errstate(over="ignore"):
         blocks = mixed((prints & BLOCKS) * np.uint64(0x9E3779B97F4A7C15) + np.arange(7, 7 + len(BLOCKS), dtype=np.uint64))
     return np.concatenate((band_keys(minima(hashes, starts, FACTORS[: BANDS * width]), width, name), blocks), axis=1)
 
 
-def word_places(runs: list[list[int]]) -> np.ndarray:
-    """The keys of lines given as hashes of their counting words."""
-    sizes = np.array([len(x) for x in runs])
-    return feature_places(np.array([v for x in runs for v in x], np.uint64), np.cumsum(sizes) - sizes, WORD_WIDTH, 1000)
-
-
 def gram_places(lines: list[bytes]) -> np.ndarray:
     """The keys of lines by their grams of bytes."""
     padded = [b"\x02" + x.ljust(GRAM, b"\x03") + b"\x03" for x in lines]
@@ -136,8 +181,7 @@ def gram_places(lines: list[bytes]) -> np.ndarray:
     ends = np.cumsum(sizes)
     for j in range(1, GRAM):  # grams that would run into the next line
         inside[ends - j] = False
-    counts = sizes - GRAM + 1
-    return feature_places(grams[inside[: len(grams)]], np.cumsum(counts) - counts, GRAM_WIDTH, 2000)
+    return feature_places(grams[inside[: len(grams)]], sizes - GRAM + 1, GRAM_WIDTH, 2000)
 
 
 class Places:
@@ -146,35 +190,50 @@ class Places:
     def __init__(self) -> None:
         import xxhash
 
-        digest = xxhash.xxh64_intdigest
-
-        class Known(dict):
-            def __missing__(self, word: bytes) -> int:
-                if len(self) > REMEMBERED:
-                    self.clear()
-                n = self[word] = digest(word)
-                return n
-
-        self.digest, self.known = digest, Known().__getitem__
-
-    def of(self, lines: list[list[bytes]]) -> list[np.ndarray]:
-        """Arrays of keys of lines given as lists of their words."""
-        counted = [[w for w in words if len(w) >= LONG_WORD] for words in lines]
-        out: list[list[np.ndarray]] = [[] for _ in lines]
-        by_words = [k for k, words in enumerate(counted) if len(words) >= WORDS_FROM]
-        by_grams = [k for k, words in enumerate(counted) if len(words) < GRAMS_BELOW]
-        if by_words:
-            for k, keys in zip(by_words, word_places([list(map(self.known, counted[k])) for k in by_words]), strict=True):
-                out[k].append(keys)
-        if by_grams:
-            for k, keys in zip(by_grams, gram_places([b" ".join(lines[k]) for k in by_grams]), strict=True):
-                out[k].append(keys)
-        for k in by_grams:
-            whole = b" ".join(lines[k])
-            if len(whole) <= 4 * SHORT and len(line := whole.decode("utf-8", "replace")) <= SHORT:
-                left = shortened(line)
-                out[k].append(np.fromiter((self.digest(v.encode(), 1) for v in left), np.uint64, len(left)))
-        return [np.concatenate(x) for x in out]
+        self.digest = xxhash.xxh64_intdigest
+        self.powers = self.inverses = np.ones(1, np.uint64)
+
+    def words(self, lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(hash, line) of the words that count: polynomials of their bytes, from running sums over all lines."""
+        codes = np.frombuffer(b"\n" + b"\n".join(lines) + b"\n", np.uint8)
+        with np.errstate(over="ignore"):
+            if len(self.powers) < len(codes):
+                base = 0x9E3779B97F4A7C15
+                self.powers, self.inverses = (np.cumprod(np.append(np.uint64(1), np.full(2 * len(codes), np.uint64(x)))) for x in (base, pow(base, -1, 1 << 64)))
+            ends = codes == 10
+            between = np.flatnonzero(ends | (codes == 32))
+            line = np.cumsum(ends[between])[:-1] - 1
+            starts, sizes = between[:-1] + 1, np.diff(between) - 1
+            counts = sizes >= LONG_WORD
+            starts, sizes, line = starts[counts], sizes[counts], line[counts]
+            sums = np.cumsum(codes * self.powers[: len(codes)])
+            return mixed(mixed((sums[starts + sizes - 1] - sums[starts - 1]) * self.inverses[starts]) * np.uint64(0xBF58476D1CE4E5B9)), line
+
+    def of(self, lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(keys, number of keys of each line) of normalised lines."""
+        hashes, line = self.words(lines)
+        counts = np.bincount(line, minlength=len(lines))
+        by_words, by_grams = np.flatnonzero(counts >= WORDS_FROM), np.flatnonzero(counts < GRAMS_BELOW)
+        short = {}
+        for k in by_grams.tolist():
+            if len(lines[k]) <= 4 * SHORT and len(text := lines[k].decode("utf-8", "replace")) <= SHORT:
+                left = shortened(text)
+                short[k] = np.fromiter((self.digest(v.encode(), 1) for v in left), np.uint64, len(left))
+        n = BANDS + len(BLOCKS)
+        sizes = n * ((counts >= WORDS_FROM).astype(np.int64) + (counts < GRAMS_BELOW))
+        for k, keys in short.items():
+            sizes[k] += len(keys)
+        at = np.cumsum(sizes) - sizes
+        out = np.empty(sizes.sum(), np.uint64)
+        if len(by_words):
+            out[at[by_words][:, None] + np.arange(n)] = feature_places(hashes[counts[line] >= WORDS_FROM], counts[by_words], WORD_WIDTH, 1000)
+            at[by_words] += n
+        if len(by_grams):
+            out[at[by_grams][:, None] + np.arange(n)] = gram_places([lines[k] for k in by_grams.tolist()])
+            at[by_grams] += n
+        for k, keys in short.items():
+            out[at[k] : at[k] + len(keys)] = keys
+        return out, sizes
 
 
 def line_table(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -184,40 +243,19 @@ def line_table(docs: DataFrame, key: str, text: str) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
-        digest, places = xxhash.xxh3_128_digest, Places()
+        places = Places()
         for batch in batches:
-            rows, numbers, names, fresh, todo, held, seen = [], [], [], [], [], 0, set()
-
-            def piece(rows=rows, numbers=numbers, names=names, fresh=fresh, todo=todo, keys=batch.column(0)) -> pa.RecordBatch:
-                found = places.of(todo)
-                sizes = np.zeros(len(rows), np.int64)
-                sizes[fresh] = [len(x) for x in found]
+            seen: set[bytes] = set()
+            for at, texts in pieces(batch.column(1)):
+                lines, rows, numbers = normal_lines(texts)
+                if not lines:
+                    continue
+                fresh = [k for k, x in enumerate(lines) if not (x in seen or seen.add(x))]
+                sizes = np.zeros(len(lines), np.int64)
+                keys, sizes[fresh] = places.of([lines[k] for k in fresh]) if fresh else (np.empty(0, np.uint64), 0)
                 ends = pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32())
-                lists = pa.ListArray.from_arrays(ends, pa.array((np.concatenate(found) if found else np.empty(0, np.uint64)).view(np.int64)))
-                both = np.frombuffer(b"".join(names), ">i8").reshape(-1, 2).astype(np.int64)
-                out = pa.record_batch([keys.take(pa.array(rows, pa.int64())), pa.array(numbers, pa.int32()), pa.array(both[:, 0]), pa.array(both[:, 1]), lists], names=["key", "n", "h", "g", "places"])
-                for x in (rows, numbers, names, fresh, todo):
-                    x.clear()
-                return out
-
-            for k, t in enumerate(batch.column(1)):
-                for n, words in normal_lines(t.as_py()):
-                    name = digest(b" ".join(words))
-                    if name not in seen:
-                        seen.add(name)
-                        fresh.append(len(rows))
-                        todo.append(words)
-                        held += sum(map(len, words))
-                    rows.append(k)
-                    numbers.append(n)
-                    names.append(name)
-                    if held > PIECE:
-                        yield piece()
-                        held = 0
-            if rows:
-                yield piece()
+                names = digests(lines)
+                yield pa.record_batch([batch.column(0).take(pa.array(rows + at)), pa.array(numbers, pa.int32()), pa.array(names[:, 0]), pa.array(names[:, 1]), pa.ListArray.from_arrays(ends, pa.array(keys.view(np.int64)))], names=["key", "n", "h", "g", "places"])
 
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
@@ -239,24 +277,17 @@ def asked_lines(docs: DataFrame, text: str, bits: np.ndarray) -> DataFrame:
     mask = np.uint64(len(bits) * 64 - 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
-        digest = xxhash.xxh3_128_digest
         for batch in batches:
-            lines, names = [], []
-            for t in batch.column(0):
-                for _, words in normal_lines(t.as_py()):
-                    lines.append(b" ".join(words))
-                    names.append(digest(lines[-1]))
-            both = np.frombuffer(b"".join(names), ">i8").reshape(-1, 2).astype(np.int64)
-            passes = np.ones(len(lines), bool)
-            for s in (0, 20, 40):
-                at = (both[:, 0].view(np.uint64) if both.flags.f_contiguous else np.ascontiguousarray(both[:, 0]).view(np.uint64)) >> np.uint64(s) & mask
-                passes &= (bits[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
-            found = np.flatnonzero(passes)
-            _, first = np.unique(both[found], axis=0, return_index=True)
-            found = found[first]
-            yield pa.record_batch([pa.array(both[found, 0]), pa.array(both[found, 1]), pa.array([lines[k].decode("utf-8", "replace") for k in found], pa.string())], names=["h", "g", "payload"])
+            for _, texts in pieces(batch.column(0)):
+                lines, _, _ = normal_lines(texts)
+                names = digests(lines)
+                h, found = np.ascontiguousarray(names[:, 0]).view(np.uint64), np.ones(len(lines), bool)
+                for s in (0, 20, 40):
+                    at = h >> np.uint64(s) & mask
+                    found &= (bits[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
+                found = np.flatnonzero(found)
+                found = found[np.unique(names[found], axis=0, return_index=True)[1]]
+                yield pa.record_batch([pa.array(names[found, 0]), pa.array(names[found, 1]), pa.array([lines[k].decode("utf-8", "replace") for k in found.tolist()], pa.string())], names=["h", "g", "payload"])
 
     out = docs.select(F.col(text).alias("text")).mapInArrow(run, "h long, g long, payload string")
     return out.groupBy("h", "g").agg(F.first("payload").alias("payload"))

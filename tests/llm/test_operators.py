@@ -306,8 +306,9 @@ def near_lines(docs):
     """{normal line: its (doc_id, n)} and the matrix of edit similarity 0.8, by comparing all pairs."""
     lines = {}
     for r in docs.collect():
-        for n, words in linededup.normal_lines(r["text"]):
-            lines.setdefault(b" ".join(words).decode(), []).append((r["doc_id"], n))
+        for n, line in enumerate(r["text"].split("\n")):
+            if words := line.lower().encode().translate(bytes.maketrans(b"123456789", b"000000000")).split():
+                lines.setdefault(b" ".join(words).decode(), []).append((r["doc_id"], n))
     keys = list(lines)
     near = np.zeros((len(keys), len(keys)), bool)
     for i in range(len(keys)):
