@@ -1,15 +1,16 @@
 """Benchmark decontamination by greedy string tiling.
 
-Documents meet benchmark items in shared seeds of ``seed`` tokens.  For every pair that could
-reach the threshold, running Karp-Rabin finds the longest common runs of unmarked tokens, marks
-them without overlap from the longest down, and goes on with shorter runs until ``least``.  The
-share of an item's tokens under tiles is its coverage; as tiles may lie in any order, an item
-whose sentences were moved about is caught like a verbatim one.
+Karp-Rabin hashes of all windows of ``least`` tokens, rolled over documents and benchmark items,
+are the seeds on which the two are joined.  Of a pair of a document and an item only its shared
+seeds are gathered, with their places on both sides: every common run of ``least`` tokens
+and more is a row of neighbouring seeds.  The longest runs of unmarked tokens are marked first, without overlap,
+then the next longest, down to ``least``.  The share of an item's tokens under tiles is its
+coverage; as tiles may lie in any order, an item whose sentences were moved about is caught
+like a verbatim one.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,9 +18,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quern.llm.common import stored
+from quern.llm.groups import by_run, filter_bits, mixed, passing, pieces
+
 WORD = r"\w+"
-BASE = 1_000_003
-MASK = (1 << 64) - 1
+BASE = np.uint64(0x9E3779B97F4A7C15)
+REMEMBERED = 200_000
 
 
 def roll(ids: np.ndarray, width: int) -> np.ndarray:
@@ -30,169 +34,158 @@ def roll(ids: np.ndarray, width: int) -> np.ndarray:
     out = np.zeros(n, np.uint64)
     with np.errstate(over="ignore"):
         for k in range(width):
-            out = out * np.uint64(BASE) + ids[k : k + n].astype(np.uint64, copy=False)
+            out = out * BASE + ids[k : k + n]
     return out
 
 
-def tile(doc: list[int], item: list[int], starts: list[int], least: int) -> list[tuple[int, int, int]]:
-    """Tiles (doc start, item start, length), longest first, no token in two of them.
+class Tokens:
+    """64-bit ids of the tokens of texts: lower-cased runs of word characters."""
 
-    ``starts`` are the document positions at which a window of ``least`` tokens is shared; id 0
-    matches nothing.
-    """
-    free_doc, free_item, tiles = bytearray(b"\1") * len(doc), bytearray(b"\1") * len(item), []
-    width = len(item)
-    while width >= least:
-        # windows of the item by hash, rolled from one start to the next
-        table: dict[int, list[int]] = defaultdict(list)
-        power, value = pow(BASE, width - 1, 1 << 64), 0
-        for at, token in enumerate(item):
-            if at >= width:
-                value = value - item[at - width] * power
-            value = (value * BASE + token) & MASK
-            if at >= width - 1 and all(free_item[at - width + 1 : at + 1]):
-                table[value].append(at - width + 1)
-        found = []
-        if table:
-            last, value = -2, 0
-            for d in starts:
-                if d + width > len(doc) or not all(free_doc[d : d + width]):
-                    last = -2
-                    continue
-                if last == d - 1:
-                    value = ((value - doc[d - 1] * power) * BASE + doc[d + width - 1]) & MASK
-                else:
-                    value = 0
-                    for token in doc[d : d + width]:
-                        value = (value * BASE + token) & MASK
-                last = d
-                for i in table.get(value, ()):
-                    if doc[d : d + width] == item[i : i + width]:
-                        n = width
-                        while d + n < len(doc) and i + n < len(item) and free_doc[d + n] and free_item[i + n] and doc[d + n] == item[i + n] != 0:
-                            n += 1
-                        found.append((-n, d, i))
-        found.sort()
-        for n, d, i in found:
-            n = -n
-            if all(free_doc[d : d + n]) and all(free_item[i : i + n]):
-                free_doc[d : d + n] = free_item[i : i + n] = bytes(n)
-                tiles.append((d, i, n))
-        if width == least:
-            # a tile may have shortened another match of this width: look once more until nothing fits
-            if found and any(all(free_doc[d : d + width]) and all(free_item[i : i + width]) for _, d, i in found):
-                continue
-            break
-        width = max(least, width // 2)
-    return tiles
-
-
-class Tiler:
-    """Items of one benchmark block, ready to be met by texts."""
-
-    def __init__(self, items: list[tuple[int, str]], seed: int, least: int, threshold: float) -> None:
+    def __init__(self) -> None:
         import re
 
-        self.find, self.least, self.threshold = re.compile(WORD).findall, least, threshold
-        self.vocabulary: dict[str, int] = {}
-        self.items: dict[int, list[int]] = {}
-        self.keys: list[int] = []
-        seeds: dict[int, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
-        for key, text in items:
-            words = self.find((text or "").lower())
-            if not words:
-                continue
-            ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words]
-            at = len(self.keys)
-            self.keys.append(key)
-            self.items[at] = ids
-            width = min(seed, len(ids))
-            for value in roll(np.array(ids), width).tolist():
-                if at not in seeds[width][value][-1:]:
-                    seeds[width][value].append(at)
-        self.seeds = {w: dict(s) for w, s in seeds.items()}
+        import xxhash
+
+        digest = xxhash.xxh64_intdigest
 
         class Known(dict):
             def __missing__(self, word: str) -> int:
-                return 0
-
-        self.known = Known(self.vocabulary)
-        self.sorted = {w: np.array(sorted(s), np.uint64) for w, s in self.seeds.items()}
-
-    def meet(self, text: str) -> list[tuple[int, float, int, int]]:
-        """(item key, coverage, tiles, longest tile) of the items that reach the threshold."""
-        words = self.find(text.lower())
-        ids = np.fromiter(map(self.known.__getitem__, words), np.uint64, len(words))
-        met: set[int] = set()
-        for width, known in self.sorted.items():
-            values = roll(ids, width)
-            if len(values) and len(known):
-                hits = values[known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values]
-                for value in np.unique(hits).tolist():
-                    met.update(self.seeds[width][value])
-        out, doc = [], ids.tolist() if met else []
-        for at in sorted(met):
-            item = self.items[at]
-            least = min(self.least, len(item))
-            windows = roll(np.array(item), least)
-            starts = np.flatnonzero(np.isin(roll(ids, least), windows))
-            shared = np.isin(windows, roll(ids, least))
-            under = np.convolve(shared, np.ones(least, np.int64)) > 0
-            if under.sum() < self.threshold * len(item):
-                continue  # no tiling can cover more than all shared windows together
-            tiles = tile(doc, item, starts.tolist(), least)
-            share = sum(n for _, _, n in tiles) / len(item)
-            if tiles and share >= self.threshold:
-                out.append((self.keys[at], share, len(tiles), max(n for _, _, n in tiles)))
-        return out
-
-
-def blocks(benchmark: DataFrame, key: str, text: str, block_bytes: int) -> Iterator[list[tuple[int, str]]]:
-    """The benchmark's rows in blocks of about ``block_bytes``, so that what travels to tasks is bounded."""
-    rows = benchmark.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))
-    total = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    n = max(1, -(-total // block_bytes))
-    for b in range(n):
-        part = rows.filter(F.pmod(F.xxhash64("k", "t"), F.lit(n)) == b).orderBy("k", "t")
-        yield [(r["k"], r["t"]) for r in part.collect()]
-
-
-def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", seed: int = 5, least: int = 3, threshold: float = 0.8, block_bytes: int = 16 << 20) -> DataFrame:
+                if len(self) > REMEMBERED:
+                    self.clear()
+                n = self[word] = digest(word.encode("utf-8", "surrogatepass"))
+                return n
+
+        self.find, self.known = re.compile(WORD).findall, Known().__getitem__
+
+    def of(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after another, number of each)."""
+        words = [self.find((t or "").lower()) for t in texts]
+        sizes = np.array([len(w) for w in words], np.int64)
+        return np.fromiter((i for w in words for i in map(self.known, w)), np.uint64, int(sizes.sum())), sizes
+
+
+def seeds(ids: np.ndarray, sizes: np.ndarray, width: int) -> tuple[np.ndarray, ...]:
+    """(text, place, h, c) of all windows of ``width`` tokens that lie within a text; h and c are independent hashes."""
+    values = roll(ids, width)
+    text = np.repeat(np.arange(len(sizes)), sizes)
+    place = np.arange(len(ids)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    inside = np.flatnonzero(text[: len(values)] == text[width - 1 :]) if len(values) else np.empty(0, np.int64)
+    with np.errstate(over="ignore"):
+        h = mixed(values[inside] * np.uint64(0xBF58476D1CE4E5B9) + np.uint64(width))
+        c = roll(mixed(ids ^ np.uint64(0x5851F42D4C957F2D)), width)[inside] >> np.uint64(32)
+    return text[inside], place[inside], h, c.astype(np.uint32).view(np.int32)
+
+
+def tiles(doc: np.ndarray, item: np.ndarray, width: int) -> list[tuple[int, int, int]]:
+    """Tiles (doc place, item place, tokens) from the shared windows (doc[k], item[k]) of ``width`` tokens.
+
+    Longest first, at equal length by place in the document and the item; no token is in two tiles.
+    """
+    order = np.lexsort((doc, doc - item))
+    doc, item = doc[order].astype(np.int64), item[order].astype(np.int64)
+    places = np.unique(doc[:, None] + np.arange(width))
+    at = np.searchsorted(places, doc)  # places of one window are neighbours here too
+    free_doc, free_item, out = np.ones(len(places), bool), np.ones(int(item.max()) + width, bool), []
+    while True:
+        fits = np.ones(len(doc), bool)
+        for k in range(width):
+            fits &= free_doc[at + k] & free_item[item + k]
+        doc, item, at = doc[fits], item[fits], at[fits]
+        if not len(doc):
+            return out
+        begins = np.flatnonzero(np.append(True, (np.diff(doc) != 1) | (np.diff(item) != 1)))
+        lengths = np.diff(np.append(begins, len(doc))) + width - 1
+        longest = int(lengths.max())
+        for d, i, p in sorted(zip(doc[begins[lengths == longest]].tolist(), item[begins[lengths == longest]].tolist(), at[begins[lengths == longest]].tolist(), strict=True)):
+            if free_doc[p : p + longest].all() and free_item[i : i + longest].all():
+                free_doc[p : p + longest] = free_item[i : i + longest] = False
+                out.append((d, i, longest))
+
+
+def item_seeds(benchmark: DataFrame, item: str, text: str, least: int) -> DataFrame:
+    """(b, item_id, size, width, i, h, c): the windows of every item; ``b`` names its row, shorter items are one window."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens = Tokens()
+        for batch in batches:
+            ids, sizes = tokens.of(batch.column(2).to_pylist())
+            for width in range(1, least + 1):
+                text, place, h, c = seeds(ids, sizes, width)
+                has = np.minimum(sizes[text], least) == width
+                text, place, h, c = text[has], place[has], h[has], c[has]
+                rows = pa.array(text)
+                yield pa.record_batch([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(sizes[text], pa.int32()), pa.array(np.full(len(text), width), pa.int32()), pa.array(place, pa.int32()), pa.array(h.view(np.int64)), pa.array(c)], names=["b", "item_id", "size", "width", "i", "h", "c"])
+
+    rows = benchmark.select(F.monotonically_increasing_id().alias("b"), F.col(item).alias("item_id"), F.col(text).alias("text"))
+    return rows.mapInArrow(run, f"b long, item_id {benchmark.schema[item].dataType.simpleString()}, size int, width int, i int, h long, c int")
+
+
+def text_names(text: str) -> tuple:
+    """Two columns that name a row's text: what a text contains does not depend on its row."""
+    whole = F.coalesce(F.col(text), F.lit(""))
+    return F.xxhash64(whole).alias("r"), F.xxhash64(F.lit("text"), whole).alias("s")
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, text: str, item: str, item_text: str, least: int, threshold: float, filter_power: int) -> DataFrame:
+    """(r, s, item_id, coverage, tiles, longest) of texts and items at or above ``threshold``, as a stored table."""
+    wanted = stored(item_seeds(benchmark, item, item_text, least), "item-seeds")
+    bits = filter_bits(wanted, filter_power)
+    widths = [r["width"] for r in wanted.select("width").distinct().collect()]  # at most ``least`` numbers
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens = Tokens()
+        for batch in batches:
+            for first, texts in pieces(batch.column(2)):
+                ids, sizes = tokens.of(texts)
+                for width in widths:
+                    row, place, h, c = seeds(ids, sizes, width)
+                    met = passing(h, bits)
+                    rows = pa.array(row[met] + first)
+                    yield pa.record_batch([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(place[met], pa.int32()), pa.array(h[met].view(np.int64)), pa.array(c[met])], names=["r", "s", "d", "h", "c"])
+
+    found = docs.select(*text_names(text), F.col(text).alias("text")).mapInArrow(find, "r long, s long, d int, h long, c int").distinct()
+    hits = found.join(wanted, ["h", "c"]).select("r", "s", "b", "item_id", "size", "width", "d", "i")
+    kind = wanted.schema["item_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for r, s, _, name, size, width, d, i in by_run(batches, 3):
+            n, w, places = size[0], width[0], np.array(i)
+            if len(np.unique(places[:, None] + np.arange(w))) < threshold * n - 1e-9:
+                continue  # no tiling covers more than all shared windows together
+            laid = tiles(np.array(d), places, w)
+            share = sum(x[2] for x in laid) / n
+            if share >= threshold - 1e-9:
+                yield pa.record_batch([pa.array([r[0]]), pa.array([s[0]]), pa.array([name[0]], pa.int64()), pa.array([share]), pa.array([len(laid)], pa.int32()), pa.array([max(x[2] for x in laid)], pa.int32())], names=["r", "s", "item_id", "coverage", "tiles", "longest"])
+
+    dealt = hits.repartition("r", "s", "b").sortWithinPartitions("r", "s", "b")
+    return stored(dealt.mapInArrow(run, f"r long, s long, item_id {kind}, coverage double, tiles int, longest int"), "contaminated")
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", least: int = 3, threshold: float = 0.8, filter_power: int = 23) -> DataFrame:
     """(key, item_id, coverage, tiles, longest, contaminated) of every pair at or above ``threshold``.
 
-    Tokens are lower-cased runs of word characters.  A pair is looked at if it shares ``seed``
-    tokens in a row (or all of a shorter item) and is tiled down to runs of ``least`` tokens; items without tokens match nothing.  Null texts count as empty.  Repeated rows
-    give repeated pairs; extra columns are ignored; empty tables give an empty result.  Each
-    benchmark block reads the documents once.
+    Tokens are lower-cased runs of word characters.  All common runs of ``least`` tokens count (of
+    a shorter item the whole); no pair is passed over.  Items without tokens match nothing; null
+    texts count as empty; repeated rows give repeated pairs; null keys are returned; extra columns
+    are ignored; empty tables give an empty result.  Texts of any length are read whole, once.
+    Item ids must be integers.
+
+    Nothing of the benchmark is collected but a filter of 2^``filter_power`` bits: document
+    windows that miss it have no item; when it fills up, more windows travel to the join and the result is the same.
+    """
+    args = (text, item, item_text, least, threshold, filter_power)
+    found = contaminated(docs, benchmark, *args).select("r", "s", "item_id", "coverage", "tiles", "longest", F.lit(True).alias("contaminated"))
+    rows = docs.select(F.col(key).alias("_key"), *text_names(text))
+    return rows.join(found, ["r", "s"]).select(F.col("_key").alias(key), "item_id", "coverage", "tiles", "longest", "contaminated")
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", least: int = 3, threshold: float = 0.8, filter_power: int = 23) -> DataFrame:
+    """The rows of ``docs`` that no benchmark item covers, in all their columns.
+
+    A row goes or stays by its text alone: null and empty texts stay, repeated rows share one
+    fate, keys do not matter.  An empty benchmark drops nothing.
     """
-    kind, item_kind = docs.schema[key].dataType.simpleString(), benchmark.schema[item].dataType.simpleString()
-    schema = f"key {kind}, item_id {item_kind}, coverage double, tiles int, longest int, contaminated boolean"
-    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    out = None
-    for block in blocks(benchmark, item, item_text, block_bytes):
-
-        def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
-            tiler = Tiler(block, seed, least, threshold)
-            for batch in batches:
-                found = [(k, *hit) for k, t in zip(batch.column(0), batch.column(1), strict=True) for hit in tiler.meet(t.as_py() or "")]
-                keys = pa.array([f[0].as_py() for f in found], batch.column(0).type)
-                columns = [[f[c] for f in found] for c in range(1, 5)]
-                yield pa.record_batch([keys, pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.float64()), pa.array(columns[2], pa.int32()), pa.array(columns[3], pa.int32()), pa.array([True] * len(found), pa.bool_())], names=["key", "item_id", "coverage", "tiles", "longest", "contaminated"])
-
-        part = rows.mapInArrow(run, schema)
-        out = part if out is None else out.unionByName(part)
-    return out.withColumnRenamed("key", key)
-
-
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", seed: int = 5, least: int = 3, threshold: float = 0.8, block_bytes: int = 16 << 20) -> DataFrame:
-    """The rows of ``docs`` that no benchmark item covers, in all their columns; no shuffle."""
-    schema, at = docs.schema, docs.columns.index(text)
-    for block in blocks(benchmark, item, item_text, block_bytes):
-
-        def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
-            tiler = Tiler(block, seed, least, threshold)
-            for batch in batches:
-                yield batch.filter(pa.array([not tiler.meet(t.as_py() or "") for t in batch.column(at)], pa.bool_()))
-
-        docs = docs.mapInArrow(run, schema)
-    return docs
+    found = contaminated(docs, benchmark, text, item, item_text, least, threshold, filter_power)
+    gone = stored(found.select(F.col("r").alias("_r"), F.col("s").alias("_s")).distinct(), "contaminated-texts")
+    r, s = text_names(text)
+    return docs.join(gone, (r == F.col("_r")) & (s == F.col("_s")), "left_anti")
