@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from quern.llm.common import stored
+from quern.llm.common import discard, stored
 
 
-def _digest(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x")).first()
-    return row["n"], row["x"]
+def _written(edges: DataFrame) -> tuple[DataFrame, tuple]:
+    """The stored edges, and their number and digest as the writing saw them."""
+    seen = Observation()
+    out = stored(edges.observe(seen, F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x")), "cc")
+    return out, (seen.get["n"], seen.get["x"])
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -29,7 +31,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
         out = met.filter(F.col("v") > F.col("u")).select(F.col("v").alias("a"), F.col("m").alias("b"))
     else:
         out = met.select(F.col("v").alias("a"), F.col("m").alias("b")).union(least.select(F.col("mu"), F.col("m")))
-    return out.filter(F.col("a") != F.col("b")).distinct()
+    return out.filter(F.col("a") != F.col("b"))
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -42,13 +44,12 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     a, b = edges.columns[:2]
     now = edges.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b"))
     now = now.filter(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    now = stored(now, "cc")
-    before = _digest(now)
+    now, before = _written(now)
     for _ in range(max_rounds):
         if not before[0]:
             break
-        now = stored(_star(_star(now, True), False), "cc")
-        after = _digest(now)
+        last, (now, after) = now, _written(_star(_star(now, True), False).distinct())
+        discard(last)
         if after == before:
             break
         before = after

@@ -3,8 +3,8 @@
 ``met`` turns (bucket, h) rows into sets of items that share buckets.  ``linked`` compares
 the items of each set by a given test and returns links whose components are those of all pairs
 that pass it.  No set is read whole by one task beyond a fixed size: larger ones are dealt
-into parts; each part is settled alone, one leader of each part is compared with all
-others, and what is then outside its set's largest class is compared with every other part in blocks.
+into parts; each part is settled alone, the leader of the largest class is compared with all
+others, and what is then outside that class is compared with every part in blocks.
 """
 
 from __future__ import annotations
@@ -17,10 +17,47 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.common import stored
-from quern.llm.components import components
 
 #: Members and payload bytes of a part, at most about.
 MOST, MOST_BYTES = 1024, 16 << 20
+#: Where the filter takes its bits from.
+SHIFTS = (0, 20, 40)
+
+
+#: Characters of texts that are worked on together.
+PIECE = 1 << 18
+
+
+def pieces(column: pa.Array) -> Iterator[tuple[int, list[str | None]]]:
+    """Texts of a column in runs of about PIECE characters, with the place of the first."""
+    held, size, at = [], 0, 0
+    for k, t in enumerate(column):
+        held.append(t.as_py())
+        size += len(held[-1] or "")
+        if size > PIECE:
+            yield at, held
+            held, size, at = [], 0, k + 1
+    if held:
+        yield at, held
+
+
+def filter_bits(rows: DataFrame, power: int) -> np.ndarray:
+    """A Bloom filter of 2^power bits (20 to 24) over ``h``, put together on the executors; its size is fixed."""
+    mask = (1 << power) - 1
+    at = F.explode(F.array(*[F.shiftrightunsigned("h", s).bitwiseAND(F.lit(mask)) for s in SHIFTS])).alias("at")
+    words = rows.select("h").distinct().select(at).groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits")).toArrow()
+    out = np.zeros(1 << (power - 6), np.int64)
+    out[words["word"].to_numpy()] = words["bits"].to_numpy()
+    return out.view(np.uint64)
+
+
+def passing(h: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Places of the hashes that are in the filter (a few others pass, none is lost)."""
+    found, mask = np.ones(len(h), bool), np.uint64(len(bits) * 64 - 1)
+    for s in SHIFTS:
+        at = h >> np.uint64(s) & mask
+        found &= (bits[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
+    return np.flatnonzero(found)
 
 
 def minima(hashes: np.ndarray, starts: np.ndarray, factors: np.ndarray) -> np.ndarray:
@@ -146,7 +183,7 @@ def linked(members: DataFrame, prepare: Callable[[list], object], near: Near, mo
         return links
 
     def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, _, _, asks, h, kind, payload in by_run(batches, 3):
+        for root, _, _, asks, h, kind, payload in by_run(batches, 3):
             n = asks.index(True) if True in asks else len(asks)
             items, a, b, kinds = prepare(payload), [], [], np.array(kind, np.int64)
             for at in range(n, len(h)):
@@ -154,7 +191,7 @@ def linked(members: DataFrame, prepare: Callable[[list], object], near: Near, mo
                 for other in {kinds[k]: k for k in near(items, at, others).tolist()}.values():
                     a.append(h[at])
                     b.append(h[other])
-            yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+            yield pa.record_batch([pa.array([root[0]] * len(a), pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["root", "a", "b"])
 
     def crossed(told: DataFrame, asking: DataFrame) -> DataFrame:
         """Links between classes: every asking member against all members of its set that are of another class."""
@@ -168,17 +205,18 @@ def linked(members: DataFrame, prepare: Callable[[list], object], near: Near, mo
         block = F.pmod(F.xxhash64("h", F.lit(1)), F.col("blocks")).cast("int").alias("block")
         sent = asking.join(blocks, "root").join(texts, same).select("root", spread("parts", "part"), block, F.lit(True).alias("asks"), "h", "kind", "payload")
         rows = held.union(sent).repartition("root", "part", "block").sortWithinPartitions("root", "part", "block", "asks", "h")
-        return rows.mapInArrow(across, "a long, b long")
+        return rows.mapInArrow(across, "root long, a long, b long")
 
-    # the leader of the largest class of every part against all members of its set
+    # the leader of the largest class against all of its set; the classes it meets are one with it
     told = wide.select("root", "part", "parts", "h", F.col("seed").alias("kind"))
-    classes = told.groupBy("root", "part", "parts", "kind").agg(F.count(F.lit(1)).alias("n"))
-    leaders = classes.groupBy("root", "part", "parts").agg(F.max(F.struct("n", "kind"))["kind"].alias("kind")).select("root", "parts", F.col("kind").alias("h"), "kind")
+    classes = told.groupBy("root", "parts", "kind").agg(F.count(F.lit(1)).alias("n"))
+    leaders = stored(classes.groupBy("root", "parts").agg(F.max(F.struct("n", "kind"))["kind"].alias("h")).withColumn("kind", F.col("h")), "leaders")
     again = stored(crossed(told, leaders), "links")
-    # then what is outside the largest class of its set (a link found in any set joins classes in all) against all
-    roots = components(again.unionByName(told.filter("h != kind").select(F.col("h").alias("a"), F.col("kind").alias("b"))))
-    told = stored(told.join(roots, told["h"] == roots["node"], "left").select(told["root"], "part", "parts", "h", F.coalesce(roots["root"], "h").alias("kind")), "classes")
-    main = told.groupBy("root", "kind").agg(F.count(F.lit(1)).alias("n")).groupBy("root").agg(F.max(F.struct("n", "kind"))["kind"].alias("main"))
-    rest = told.join(main, "root").filter("kind != main").select("root", "parts", "h", "kind")
-    last = stored(crossed(told, rest), "links")
-    return links.unionByName(again).unionByName(last)
+    met_kinds = again.join(told, (again["root"] == told["root"]) & (again["b"] == told["h"])).select(told["root"].alias("_root"), F.col("kind").alias("_kind"))
+    main = met_kinds.union(leaders.select("root", "h")).distinct()
+    told = told.join(main, (F.col("root") == F.col("_root")) & (F.col("kind") == F.col("_kind")), "left")
+    told = told.select("root", "part", "parts", "h", F.when(F.col("_kind").isNull(), F.col("kind")).alias("kind"))
+    # what is left against all of other classes; the largest class goes by a name that no member has
+    told = stored(told.fillna(-1, ["kind"]), "classes")
+    last = stored(crossed(told, told.filter("kind != -1").select("root", "parts", "h", "kind")), "links")
+    return links.unionByName(again.select("a", "b")).unionByName(last.select("a", "b"))

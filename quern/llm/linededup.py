@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from quern.llm.common import discard, stored
 from quern.llm.components import components
-from quern.llm.groups import band_keys, linked, met, minima, mixed, odd_factors
+from quern.llm.groups import band_keys, filter_bits, linked, met, minima, mixed, odd_factors, passing, pieces
 
 #: Digits to 0, white space but line ends to blanks.
 NORMAL = bytes.maketrans(b"123456789\t\r\x0b\x0c", b"000000000    ")
@@ -40,8 +40,6 @@ WORDS_FROM, GRAMS_BELOW = 8, 12
 SHORT = 14
 #: The two blocks of a SimHash.
 BLOCKS = np.array([0xFFFFFFFF, 0xFFFFFFFF << 32], np.uint64)
-#: Characters of texts that are worked on together.
-PIECE = 1 << 18
 
 
 def similar(a: str, b: str, least: float) -> bool:
@@ -125,19 +123,6 @@ def normal_lines(texts: list[str | None]) -> tuple[list[bytes], np.ndarray, np.n
     return [x for x in lines if x], rows[has], numbers[has]
 
 
-def pieces(column: pa.Array) -> Iterator[tuple[int, list[str | None]]]:
-    """Texts of a column in runs of about PIECE characters, with the place of the first."""
-    held, size, at = [], 0, 0
-    for k, t in enumerate(column):
-        held.append(t.as_py())
-        size += len(held[-1] or "")
-        if size > PIECE:
-            yield at, held
-            held, size, at = [], 0, k + 1
-    if held:
-        yield at, held
-
-
 def digests(lines: list[bytes]) -> np.ndarray:
     """A row of two numbers, h and g, for each line."""
     import xxhash
@@ -158,10 +143,14 @@ def shortened(line: str) -> set[str]:
 def feature_places(hashes: np.ndarray, sizes: np.ndarray, width: int, name: int) -> np.ndarray:
     """A row of keys for each run of feature hashes: its bands of ``width`` minima and the blocks of its SimHash."""
     starts = np.cumsum(sizes) - sizes
-    bits = np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    kind = np.uint8 if sizes.max() < 256 else np.int32
-    ones = np.add.reduceat(bits, starts, axis=0, dtype=kind)
-    prints = np.packbits(ones > (sizes // 2)[:, None], axis=1, bitorder="little").view("<u8")
+    ones = np.empty((len(sizes), 8, 8), np.int64)
+    for at in range(8):  # eight counters of a byte each in one number, for runs that cannot overflow them
+        lanes = hashes >> np.uint64(at) & np.uint64(0x0101010101010101)
+        if sizes.max() < 256:
+            ones[:, :, at] = np.add.reduceat(lanes, starts).astype("<u8").view(np.uint8).reshape(-1, 8)
+        else:
+            ones[:, :, at] = np.add.reduceat(lanes.astype("<u8").view(np.uint8).reshape(-1, 8), starts, axis=0, dtype=np.int64)
+    prints = np.packbits((2 * ones > sizes[:, None, None]).reshape(-1, 64), axis=1, bitorder="little").view("<u8")
     with np.errstate(over="ignore"):
         blocks = mixed((prints & BLOCKS) * np.uint64(0x9E3779B97F4A7C15) + np.arange(7, 7 + len(BLOCKS), dtype=np.uint64))
     return np.concatenate((band_keys(minima(hashes, starts, FACTORS[: BANDS * width]), width, name), blocks), axis=1)
@@ -262,30 +251,14 @@ def line_table(docs: DataFrame, key: str, text: str) -> DataFrame:
     return rows.mapInArrow(run, f"key {kind}, n int, h long, g long, places array<long>")
 
 
-def asked_bits(asked: DataFrame, power: int) -> np.ndarray:
-    """A Bloom filter of 2^power bits over ``h``, put together on the executors; its size is fixed."""
-    mask = (1 << power) - 1
-    at = F.explode(F.array(*[F.shiftrightunsigned("h", s).bitwiseAND(F.lit(mask)) for s in (0, 20, 40)])).alias("at")
-    words = asked.select("h").distinct().select(at).groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits")).toArrow()
-    out = np.zeros(1 << (power - 6), np.int64)
-    out[words["word"].to_numpy()] = words["bits"].to_numpy()
-    return out.view(np.uint64)
-
-
 def asked_lines(docs: DataFrame, text: str, bits: np.ndarray) -> DataFrame:
     """(h, g, payload): the normal forms of lines whose ``h`` is in the filter (a few others pass, none is lost)."""
-    mask = np.uint64(len(bits) * 64 - 1)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, texts in pieces(batch.column(0)):
                 lines, _, _ = normal_lines(texts)
                 names = digests(lines)
-                h, found = np.ascontiguousarray(names[:, 0]).view(np.uint64), np.ones(len(lines), bool)
-                for s in (0, 20, 40):
-                    at = h >> np.uint64(s) & mask
-                    found &= (bits[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
-                found = np.flatnonzero(found)
+                found = passing(np.ascontiguousarray(names[:, 0]).view(np.uint64), bits)
                 found = found[np.unique(names[found], axis=0, return_index=True)[1]]
                 yield pa.record_batch([pa.array(names[found, 0]), pa.array(names[found, 1]), pa.array([lines[k].decode("utf-8", "replace") for k in found.tolist()], pa.string())], names=["h", "g", "payload"])
 
@@ -293,6 +266,27 @@ def asked_lines(docs: DataFrame, text: str, bits: np.ndarray) -> DataFrame:
     return out.groupBy("h", "g").agg(F.first("payload").alias("payload"))
 
 
+def like_lines(similarity: float):
+    """Preparation and neighbours of lines: those that share a place and have the edit similarity."""
+
+    def prepare(payload: list[str]) -> tuple[list[str], np.ndarray | None]:
+        if len(payload) <= 8:
+            return payload, None
+        keys, sizes = Places().of([x.encode() for x in payload])
+        table = -np.arange(len(payload) * int(sizes.max())).reshape(len(payload), -1).astype(np.int64)  # no two alike
+        table[np.arange(table.shape[1]) < sizes[:, None]] = keys.view(np.int64)
+        return payload, np.sort(table, axis=1)
+
+    def near(items: tuple[list[str], np.ndarray | None], at: int, rest: np.ndarray) -> np.ndarray:
+        lines, table = items
+        if table is not None:
+            place = np.minimum(np.searchsorted(table[at], table[rest]), table.shape[1] - 1)
+            rest = rest[(table[at][place] == table[rest]).any(axis=1)]
+        return np.array([k for k in rest.tolist() if similar(lines[at], lines[k], similarity)], np.int64)
+
+    return prepare, near
+
+
 def line_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = 0.8, filter_power: int = 23) -> DataFrame:
     """(key, n, group, kept): every line with words; of each group the first (key, n) is kept.
 
@@ -306,13 +300,10 @@ def line_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", simila
     nodes = lines.groupBy("h", "g").agg(F.min(F.struct("key", "n")).alias("first"))
     nodes = stored(nodes.select("h", "g", "first", F.monotonically_increasing_id().alias("id")), "nodes")
     asked = stored(met(lines.select(F.explode("places").alias("bucket"), "h")), "met")
-    texts = asked_lines(docs, text, asked_bits(asked, filter_power)).join(nodes.select("h", "g", "id"), ["h", "g"])
+    texts = asked_lines(docs, text, filter_bits(asked, filter_power)).join(nodes.select("h", "g", "id"), ["h", "g"])
     members = stored(asked.join(texts, "h").select("root", F.col("id").alias("h"), "payload"), "members")
 
-    def near(items: list[str], at: int, rest: np.ndarray) -> np.ndarray:
-        return np.array([k for k in rest.tolist() if similar(items[at], items[k], similarity)], np.int64)
-
-    roots = components(linked(members, list, near))
+    roots = components(linked(members, *like_lines(similarity)))
     told = nodes.join(roots, nodes["id"] == roots["node"]).select("id", "first", "root")
     least = stored(told.groupBy("root").agg(F.min("first").alias("stays")), "first-lines")
     changed = stored(told.join(least, "root").select(F.col("id").alias("node"), F.col("root").alias("group"), "stays"), "line-groups")

@@ -255,6 +255,41 @@ def test_toxicity_learns_and_locates(spark, odd, empty):
     assert toxicity.score_documents(table, none).filter("predicted = 1").count() == 0
 
 
+def plain_tiles(doc, item, least):
+    """Greedy string tiling as defined: all longest common runs of unmarked tokens, marked in order, again and again."""
+    used_doc, used_item, out = [False] * len(doc), [False] * len(item), []
+    while True:
+        best, found = least, []
+        for d in range(len(doc)):
+            for i in range(len(item)):
+                n = 0
+                while d + n < len(doc) and i + n < len(item) and doc[d + n] == item[i + n] and not used_doc[d + n] and not used_item[i + n]:
+                    n += 1
+                if n > best:
+                    best, found = n, []
+                if n == best:
+                    found.append((d, i))
+        if not found:
+            return out
+        for d, i in found:
+            if not any(used_doc[d : d + best]) and not any(used_item[i : i + best]):
+                used_doc[d : d + best] = used_item[i : i + best] = [True] * best
+                out.append((d, i, best))
+
+
+def shared_windows(doc, item, width):
+    pairs = [(d, i) for d in range(len(doc) - width + 1) for i in range(len(item) - width + 1) if doc[d : d + width] == item[i : i + width]]
+    return np.array([p[0] for p in pairs], np.int64), np.array([p[1] for p in pairs], np.int64)
+
+
+def test_tiles_are_those_of_greedy_string_tiling():
+    rng = random.Random(4)
+    for _ in range(600):
+        doc, item = [rng.randrange(1, 5) for _ in range(30)], [rng.randrange(1, 5) for _ in range(12)]
+        d, i = shared_windows(doc, item, 3)
+        assert (decontam.tiles(d, i, 3) if len(d) else []) == plain_tiles(doc, item, 3)
+
+
 def test_tiling_catches_reordered_passages(spark, odd, empty):
     rng = random.Random(9)
     items = [(k, " ".join(f"i{rng.randrange(2000)}" for _ in range(40))) for k in range(20)]
@@ -262,26 +297,43 @@ def test_tiling_catches_reordered_passages(spark, odd, empty):
     bench = spark.createDataFrame(items, "item_id long, text string")
     noise = lambda n: " ".join(f"z{rng.randrange(900)}" for _ in range(n))
     words = items[0][1].split()
+    pieces = [words[k : k + 4] for k in range(0, 40, 4)]
+    rng.shuffle(pieces)
     cases = {1: f"{noise(50)} {items[3][1]} {noise(9)}", 2: " ".join([noise(5), *words[20:], noise(4), *words[:20]]), 3: " ".join(words[:25]), 4: noise(300), 5: f"A TINY, ONE {noise(3)}", 6: " ".join(words[10:20] * 3)}
-    table = spark.createDataFrame([(k, t) for k, t in cases.items()], "doc_id long, text string")
-    out = {(r["doc_id"], r["item_id"]): r["tiles"] for r in decontam.contamination(table, bench).collect()}
-    assert out == {(1, 3): 1, (2, 0): 2, (5, 90): 1}
-    assert {(r["doc_id"], r["item_id"]) for r in decontam.contamination(table, bench, block_bytes=500).collect()} == set(out)
-    assert sorted(r["doc_id"] for r in decontam.drop_contaminated(table, bench).collect()) == [3, 4, 6]
+    cases |= {7: " ".join(f"{' '.join(p)} {noise(1)}" for p in pieces), 8: " ".join("changed" if k % 5 == 4 else w for k, w in enumerate(words)), 9: noise(30_000) + " " + items[7][1], 10: items[3][1]}
+    table = spark.createDataFrame([(k, t) for k, t in cases.items()] + [(1, cases[1])], "doc_id long, text string").withColumn("h", F.lit("clash"))
+    found = decontam.contamination(table, bench).collect()
+    out = {(r["doc_id"], r["item_id"]): r["tiles"] for r in found}
+    assert out == {(1, 3): 1, (2, 0): 2, (5, 90): 1, (7, 0): 10, (8, 0): 8, (9, 7): 1, (10, 3): 1} and len(found) == 8
+    rest = decontam.drop_contaminated(table, bench)
+    assert sorted(r["doc_id"] for r in rest.collect()) == [3, 4, 6] and rest.columns == table.columns
     assert decontam.contamination(odd, bench).count() == 0 and decontam.contamination(empty, bench).count() == 0
     assert decontam.contamination(table, bench.limit(0)).count() == 0 and decontam.drop_contaminated(odd, bench).count() == 8
 
 
-def test_tiles_never_overlap():
-    rng = random.Random(4)
-    for _ in range(300):
-        doc, item = [rng.randrange(1, 5) for _ in range(30)], [rng.randrange(1, 5) for _ in range(12)]
-        starts = [d for d in range(28) if any(doc[d : d + 3] == item[i : i + 3] for i in range(10))]
-        tiles = decontam.tile(doc, item, starts, 3)
-        for side, text in ((0, doc), (1, item)):
-            used = [x for t in tiles for x in range(t[side], t[side] + t[2])]
-            assert len(used) == len(set(used)) <= len(text)
-        assert all(doc[d : d + n] == item[i : i + n] and n >= 3 for d, i, n in tiles) and bool(tiles) == bool(starts)
+def test_contamination_is_that_of_all_pairs(spark, docs):
+    import re
+
+    bench = spark.read.parquet(f"{SF}/benchmark.parquet")
+    find, want = re.compile(r"\w+").findall, {}
+    for r in docs.collect():
+        doc = find(r["text"].lower())
+        places = {}
+        for d in range(len(doc) - 2):
+            places.setdefault(tuple(doc[d : d + 3]), []).append(d)
+        for b in bench.collect():
+            item = find(b["text"].lower())
+            pairs = [(d, i) for i in range(len(item) - 2) for d in places.get(tuple(item[i : i + 3]), [])]
+            if len({i + k for _, i in pairs for k in range(3)}) < 0.8 * len(item):
+                continue
+            # runs that touch shared windows alone can be tiles
+            near = sorted({d + k for d, _ in pairs for k in range(3)})
+            cut = [x for k, p in enumerate(near) for x in ([None] if k and near[k - 1] != p - 1 else []) + [doc[p]]]
+            share = sum(n for _, _, n in plain_tiles(cut, item, 3)) / len(item)
+            if share >= 0.8:
+                want[r["doc_id"], b["item_id"]] = share
+    found = {(r["doc_id"], r["item_id"]): r["coverage"] for r in decontam.contamination(docs, bench).collect()}
+    assert want and found == pytest.approx(want)
 
 
 def test_edit_distance():
