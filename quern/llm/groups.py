@@ -60,6 +60,19 @@ def passing(h: np.ndarray, bits: np.ndarray) -> np.ndarray:
     return np.flatnonzero(found)
 
 
+def filtered(rows: DataFrame, key: str, bits: np.ndarray, inside: bool) -> DataFrame:
+    """The rows whose xxhash64 of ``key`` is in the filter, or those for which it is not; no shuffle."""
+    at = len(rows.columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = np.zeros(batch.num_rows, bool)
+            found[passing(np.asarray(batch.column(at)).view(np.uint64), bits)] = True
+            yield batch.select(range(at)).filter(pa.array(found == inside))
+
+    return rows.withColumn("_filter_key", F.xxhash64(F.col(key))).mapInArrow(run, rows.schema)
+
+
 def minima(hashes: np.ndarray, starts: np.ndarray, factors: np.ndarray) -> np.ndarray:
     """Per run of 64-bit hashes (from ``starts``) and factor the least 32-bit product: one row a run."""
     low = (hashes >> np.uint64(32)).astype(np.uint32)

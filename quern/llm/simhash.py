@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from quern.llm.common import discard, stored
 from quern.llm.components import components
-from quern.llm.groups import band_keys, linked, met, minima, mixed, odd_factors
+from quern.llm.groups import band_keys, filter_bits, filtered, linked, met, minima, mixed, odd_factors
 
 BITS = 64
 #: Runs beyond this many fingerprints are first cut by blocks of their open bits.
@@ -196,6 +196,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", ra
 #: Bands of minima and minima in each, for pairs of a similarity threshold.
 BANDS, WIDTH = 24, 6
 FACTORS = odd_factors(BANDS * WIDTH, 2)
+#: Bits of the filters over keys, as a power of two.
+FILTER = 23
 #: How far below the threshold the share of equal minima may lie: 4.5 standard errors at 0.8.
 SLACK = 0.15
 
@@ -284,7 +286,8 @@ def similar_sets(docs: DataFrame, key: str, text: str, width: int, similarity: f
     close = components(linked(met_sets, *like_sketches(similarity - SLACK)))
     chosen = stored(nodes.join(close, "node").select("root", "node", "d0", "d1", "id"), "close")
     wanted = chosen.select(F.col("id").alias("_id"), "root", "node", "d0", "d1")
-    texts = docs.select(F.col(key).alias("_key"), F.col(text).alias("payload")).join(wanted, F.col("_key") == F.col("_id"))
+    bits = filter_bits(chosen.select(F.xxhash64("id").alias("h")), FILTER)
+    texts = filtered(docs.select(F.col(key).alias("_key"), F.col(text).alias("payload")), "_key", bits, True).join(wanted, F.col("_key") == F.col("_id"))
     members = stored(texts.select("root", F.col("node").alias("h"), F.coalesce("payload", F.lit("")).alias("payload")).dropDuplicates(["root", "h"]), "members")
     found = components(linked(members, *like_sets(width, similarity)))
     classes = stored(chosen.select("node", "d0", "d1").join(found, "node").select("d0", "d1", F.col("root")), "set-classes")
@@ -308,7 +311,11 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", width: in
     """
     named = docs.filter(F.col(key).isNotNull())
     rows, classes = similar_sets(named, key, text, width, similarity, radius)
-    tokens = rows.groupBy("d0", "d1").agg(F.min("id").alias("id"))
-    roots = tokens.join(classes, ["d0", "d1"], "left").select("id", F.coalesce(F.col("root"), -1 - F.monotonically_increasing_id()).alias("root"))
-    kept = stored(roots.groupBy("root").agg(F.min("id").alias("_kept")).select("_kept").distinct(), "kept")
-    return docs.filter(F.col(key).isNull()).unionByName(docs.join(kept, docs[key] == kept["_kept"], "left_semi"))
+    sets = rows.groupBy("d0", "d1").agg(F.min("id").alias("id"))
+    roots = sets.join(classes, ["d0", "d1"], "left").select("id", F.coalesce(F.col("root"), -1 - F.monotonically_increasing_id()).alias("root"))
+    kept = roots.groupBy("root").agg(F.min("id").alias("_kept")).select("_kept").distinct()
+    gone = stored(rows.select(F.col("id").alias("_gone")).distinct().join(kept, F.col("_gone") == F.col("_kept"), "left_anti"), "gone")
+    bits = filter_bits(gone.select(F.xxhash64("_gone").alias("h")), FILTER)
+    # only rows that the filter takes for dropped ones travel
+    doubtful = filtered(docs, key, bits, True)
+    return filtered(docs, key, bits, False).unionByName(doubtful.join(gone, doubtful[key] == gone["_gone"], "left_anti"))
