@@ -74,7 +74,10 @@ def line_quality(line: Column, least: int = 20, most: int = 2000) -> Column:
 
 def clean_lines(lines: DataFrame, scope: str = "doc_id", order: str = "line_no", dedup: bool = True, least: int = 20, most: int = 2000) -> DataFrame:
     """Kept lines, cleaned, in their order; of equal folded lines in a scope the first stays."""
-    out = lines.filter(F.length(strip(F.col("line"))) > 0).filter(~structural(strip(F.col("line")))).withColumn("line", clean_line(strip(F.col("line")))).filter(line_quality(F.col("line"), least, most))
+    # an exploded array of one holds each value, so that no filter or column works it out again
+    held = lambda rows, value: rows.select(*[c for c in rows.columns if c != "line"], F.explode(F.array(value)).alias("line"))
+    bare = held(lines, strip(F.col("line"))).filter((F.length("line") > 0) & ~structural(F.col("line")))
+    out = held(bare, clean_line(F.col("line"))).filter(line_quality(F.col("line"), least, most))
     if not dedup:
         return out
     first = Window.partitionBy(scope, casefold(F.col("line"))).orderBy(order)

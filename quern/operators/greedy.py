@@ -8,11 +8,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """A checkpoint in the shared folder that the session names (a temporary one only where unset)."""
-    context = df.sparkSession.sparkContext
+def cut(df: DataFrame) -> DataFrame:
+    """A checkpoint in the shared folder that the session names; a temporary one only on a single machine."""
+    spark = df.sparkSession
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="quern-"))
+        base = spark.conf.get("spark.checkpoint.dir", None)
+        if not base:
+            if not context.master.startswith("local["):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+            base = "file://" + tempfile.mkdtemp(prefix="quern-")
+        context.setCheckpointDir(base)
     return df.checkpoint()
 
 
@@ -22,17 +28,17 @@ def leaders(pairs: DataFrame) -> DataFrame:
     Each round keeps the undecided nodes without an undecided earlier neighbour and drops their
     later neighbours; rounds are as many as the longest rising chain of decisions.
     """
-    edges = _cut(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct())
+    edges = cut(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct())
     open_nodes = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     decided = None
     while True:
         later = edges.select(F.col("b").alias("node")).distinct()
         kept = open_nodes.join(later, "node", "left_anti")
         dropped = edges.join(kept.withColumnRenamed("node", "a"), "a", "left_semi").select(F.col("b").alias("node")).distinct()
-        now = _cut(kept.select("node", F.lit(True).alias("kept")).union(dropped.select("node", F.lit(False))))
+        now = cut(kept.select("node", F.lit(True).alias("kept")).union(dropped.select("node", F.lit(False))))
         decided = now if decided is None else decided.union(now)
         settled = now.select("node")
-        edges = _cut(edges.join(settled.withColumnRenamed("node", "a"), "a", "left_anti").join(settled.withColumnRenamed("node", "b"), "b", "left_anti"))
+        edges = cut(edges.join(settled.withColumnRenamed("node", "a"), "a", "left_anti").join(settled.withColumnRenamed("node", "b"), "b", "left_anti"))
         open_nodes = open_nodes.join(settled, "node", "left_anti")
         if edges.isEmpty():
             return decided.union(open_nodes.select("node", F.lit(True)))

@@ -245,9 +245,10 @@ def line_clean(spark, sf_dir):
     LEFT JOIN (SELECT doc_id, count(*) AS cleaned FROM {lines_sql()} GROUP BY doc_id) c USING (doc_id) GROUP BY ROLLUP (d.source)""")
 def cleaning_summary(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    cleaned = enrich.clean_lines(enrich.explode_lines(docs)).groupBy("doc_id").agg(F.count(F.lit(1)).alias("cleaned"))
-    met = docs.select("doc_id", "source", F.size(F.split("text", "\n")).alias("raw")).join(cleaned, "doc_id", "left")
-    return met.rollup("source").agg(F.sum("raw").alias("raw_lines"), F.sum(F.coalesce("cleaned", F.lit(0))).alias("cleaned_lines"))
+    lines = docs.select("doc_id", "source", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line_no", "line"))
+    kept = enrich.clean_lines(lines).groupBy("source").agg(F.count(F.lit(1)).alias("cleaned_lines")).select("source", F.lit(0).alias("raw_lines"), "cleaned_lines")
+    raw = docs.select("source", F.size(F.split("text", "\n")).alias("raw_lines"), F.lit(0).cast("long").alias("cleaned_lines"))
+    return raw.union(kept).rollup("source").agg(F.sum("raw_lines").alias("raw_lines"), F.sum("cleaned_lines").alias("cleaned_lines"))
 
 
 def html_sql(tags: tuple[str, ...]) -> str:

@@ -45,7 +45,7 @@ def test_near_dup_survivors_match_a_scan(spark):
 
 
 def test_byte_pairs_round_trip_and_determinism(spark):
-    corpus = ["The quick brown fox jumps over the lazy dog.", "def f(x):\n    return x * 2", "Webale nnyo ssebo, oli otya leero?"] * 40
+    corpus = ["Seven ships sailed south, and seven came home again.", "for n in range(9):\n    total += n", "Drei Schiffe fuhren über das Meer; niemand sah sie wieder."] * 40
     docs = spark.createDataFrame([(k, t) for k, t in enumerate(corpus)], "doc_id long, text string")
     model = tokenizer.train(docs, merges=120)
     assert model.merges == tokenizer.train(docs.orderBy(F.desc("doc_id")), merges=120).merges and len(model.merges) > 50
@@ -60,12 +60,46 @@ def test_byte_pairs_round_trip_and_determinism(spark):
     assert tokenizer.BytePairs.from_json(model.to_json()).merges == model.merges
 
 
-def test_byte_pairs_are_learned_from_all_words(spark, monkeypatch):
-    docs = spark.createDataFrame([(1, "aa aa aa xyz xyw xyv xyu")], "doc_id long, text string")
-    limit = type(docs).limit
-    monkeypatch.setattr(type(docs), "limit", lambda self, n: limit(self, 2))  # as of a table with more words than any limit
+def plain_merges(words, merges):
+    """Byte pairs by the definition: count all pairs, merge the commonest (the least on ties), again and again."""
+    held = {w: [tokenizer.FIRST_BYTE + b for b in w.encode()] for w in words}
+    out = []
+    while len(out) < merges:
+        count = {}
+        for w, ids in held.items():
+            for pair in zip(ids, ids[1:]):  # noqa: B905
+                count[pair] = count.get(pair, 0) + words[w]
+        if not count or max(count.values()) < 2:
+            break
+        best = min(count, key=lambda p: (-count[p], p))
+        for ids in held.values():
+            k = 0
+            while k + 1 < len(ids):
+                if (ids[k], ids[k + 1]) == best:
+                    ids[k : k + 2] = [tokenizer.FIRST_MERGE + len(out)]
+                k += 1
+        out.append(best)
+    return out, held
+
+
+def test_byte_pairs_are_those_of_the_definition(spark):
+    rng = random.Random(3)
+    texts = [" ".join("".join(rng.choice("aabcdeé") for _ in range(rng.randint(1, 9))) for _ in range(60)) for _ in range(4)] + ["aaaa aaaaaaa aa"]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
     words = {r["word"]: r["freq"] for r in tokenizer.word_frequency(docs).collect()}
-    assert len(words) > 2 and tokenizer.train(docs, merges=5).merges == tokenizer.learn(words, 5).merges
+    want, held = plain_merges(words, 40)
+    model = tokenizer.train(docs, merges=40)
+    assert model.merges == want
+    for w, ids in held.items():
+        assert model.words([w]) == [ids]
+    find = __import__("regex").compile(tokenizer.PRE_SPLIT.removeprefix("(?U)")).findall
+    for r in tokenizer.encode(docs, model).collect():
+        assert r["ids"] == [i for p in find(r["text"]) for i in held[p]]
+
+
+def test_lines_are_cleaned_once(spark):
+    plan = catalog.QUERIES["line_clean"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace") <= 14
 
 
 def test_pre_split_is_lossless(spark):
