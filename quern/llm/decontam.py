@@ -23,7 +23,7 @@ from quern.llm.groups import by_run, filter_bits, mixed, passing, pieces
 
 WORD = r"\w+"
 BASE = np.uint64(0x9E3779B97F4A7C15)
-REMEMBERED = 200_000
+REMEMBERED = 100_000
 
 
 def roll(ids: np.ndarray, width: int) -> np.ndarray:

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from quern.llm.common import shuffle_partitions
 
 #: Chunks whose ids a worker remembers before it starts anew.
-REMEMBERED = 250_000
+REMEMBERED = 120_000
 
 
 class Encoder:
@@ -98,14 +98,18 @@ class Encoder:
         return np.frombuffer(self.flat, np.int32)[places]
 
 
-def _encoder(file: str):
-    """The worker's encoder of a file, kept between tasks in the library's own module."""
-    import tokenizers
+#: The worker's encoders by file, kept between tasks.
+ENCODERS: dict[str, Encoder] = {}
 
-    held = tokenizers.__dict__.setdefault("_encoders", {})
-    if file not in held:
-        held[file] = Encoder(file)
-    return held[file]
+
+def _encoder(file: str) -> Encoder:
+    """The worker's encoder of a file; memory that earlier work of this worker left unused goes back first."""
+    from quern.llm import tokenstore
+
+    pa.default_memory_pool().release_unused()
+    if file not in tokenstore.ENCODERS:
+        tokenstore.ENCODERS[file] = Encoder(file)
+    return tokenstore.ENCODERS[file]
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer_file: str, end_id: int, key: str = "doc_id", text: str = "text", row_group: int = 32 << 20, page: int = 128 << 10) -> None:
@@ -118,7 +122,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_file: str, end_id: int, k
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, at = _encoder(tokenizer_file), 0
         end = np.array([end_id], np.int32)
-        for batch in (whole.slice(k, 2000) for whole in batches for k in range(0, whole.num_rows, 2000)):
+        for batch in (whole.slice(k, 1000) for whole in batches for k in range(0, whole.num_rows, 1000)):
             parts = []
             for value in batch.column(1):
                 parts += [encoder.encode(value.as_py() or b""), end]
