@@ -12,14 +12,16 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder below ``spark.checkpoint.dir``, which driver and executors share.
 
-    Only where that setting is absent (single-machine tests) is a temporary folder made
-    and set as the checkpoint folder.
+    Only where that setting is absent on a single machine (tests) is a temporary folder made
+    and set as the checkpoint folder; a cluster without it is refused.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         current = spark.sparkContext.getCheckpointDir() if hasattr(spark.sparkContext, "getCheckpointDir") else None
         if current:
             base = current
+        elif not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         else:
             base = "file://" + tempfile.mkdtemp(prefix="quern-")
             spark.sparkContext.setCheckpointDir(base)

@@ -5,7 +5,7 @@ Projected gradient descent then fits one non-negative rate per document, so that
 domain totals ``sum(rate * tokens * posterior)`` match the targets in the least-squares sense.
 Rates are never stored between steps: a document's rate follows from its posterior and the
 residuals of the steps so far, one short vector a step, so every step is one pass over the
-posterior table that returns one sum per domain.
+posterior table that returns one sum per domain and one per pair of domains.
 """
 
 from __future__ import annotations
@@ -123,45 +123,65 @@ class Plan:
     reached: np.ndarray | None = None
 
 
-def _totals(table: DataFrame, plan: Plan) -> np.ndarray:
+def _totals(table: DataFrame, plan: Plan) -> tuple[np.ndarray, np.ndarray]:
+    """Expected tokens by domain, and how they answer to a step: the Gram matrix of the posteriors of free rates."""
     steps, least, most, size = plan.steps, plan.least, plan.most, len(plan.domains)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(size)
+        total, gram = np.zeros(size), np.zeros((size, size))
         for batch in batches:
-            posterior = np.asarray(batch.column(1).flatten()).reshape(-1, size)
-            total += (rates_of(posterior, steps, least, most) * np.asarray(batch.column(0))) @ posterior
-        yield pa.record_batch([pa.array(range(size), pa.int32()), pa.array(total)], names=["d", "v"])
+            posterior, tokens = np.asarray(batch.column(1).flatten()).reshape(-1, size), np.asarray(batch.column(0))
+            rate = rates_of(posterior, steps, least, most)
+            total += (rate * tokens) @ posterior
+            free = ((rate > least) | (not steps)) & (rate < most)
+            gram += (posterior[free] * tokens[free, None]).T @ posterior[free]
+        told = np.concatenate((total, gram.ravel()))
+        yield pa.record_batch([pa.array(range(len(told)), pa.int32()), pa.array(told)], names=["d", "v"])
 
     rows = table.select("tokens", "posterior").mapInArrow(run, "d int, v double").groupBy("d").agg(F.sum("v").alias("v")).collect()
-    out = np.zeros(size)
+    out = np.zeros(size + size * size)
     for row in rows:
         out[row["d"]] = row["v"]
-    return out
+    return out[:size], out[size:].reshape(size, size)
 
 
-def fit(table: DataFrame, targets: dict[str, float], domains: list[str], total: float | None = None, least: float = 0.0, most: float = 100.0, rounds: int = 40, close: float = 1e-3) -> Plan:
+def fit(table: DataFrame, targets: dict[str, float], domains: list[str], total: float | None = None, least: float = 0.0, most: float = float("inf"), rounds: int = 400, close: float = 1e-3) -> Plan:
     """Fit rates so that expected domain totals match ``targets`` (weights) of ``total`` tokens.
 
     ``total`` defaults to the tokens of the table.  With ``least`` of 1 or more and no total, it is
-    the smallest that leaves no domain above its target, so that no document has to go.  Residuals
-    are taken relative to a domain's tokens, which keeps the step length within (0, 2).
+    the smallest that leaves no domain above its target, so that no document has to go.  Rates lie
+    between ``least`` and ``most`` (unbounded if not given).
+
+    Steps are least-squares gradients, first in the metric of the free rates, which is soon there, then plain
+    ones of a length that always lowers the residual.  The fit ends when all residuals are within
+    ``close`` of the total, or when a plain step lowers their norm by less than a thousandth: then the targets cannot be
+    reached, and ``plan.reached`` tells the nearest totals found.  What is neither after ``rounds`` passes raises.
     """
     plan = Plan(domains, least, most)
-    held = _totals(table, Plan(domains, 1.0, 1.0))
+    held, gram = _totals(table, Plan(domains, 1.0, 1.0 + 1e-9))
     weight = np.array([targets[d] for d in domains], np.float64)
     weight = weight / weight.sum()
     if total is None:
         total = float(held.sum()) if least < 1 else least * max((h / w for h, w in zip(held, weight, strict=True) if w > 0), default=0.0)
     plan.target = weight * total
-    plan.reached = _totals(table, plan)
+    plan.reached, free = _totals(table, plan)
+    plain = 1.8 / max(float(np.linalg.eigvalsh(gram)[-1]), 1e-9)
+    length, small = 1.0, close * max(1.0, total)
     for _ in range(rounds):
         residual = plan.target - plan.reached
-        if np.abs(residual).max(initial=0.0) <= close * max(1.0, total):
-            break
-        plan.steps.append(1.5 * residual / np.maximum(held, 1.0))
-        plan.reached = _totals(table, plan)
-    return plan
+        if np.abs(residual).max(initial=0.0) <= small:
+            return plan
+        metric = length > 1 / 16
+        plan.steps.append(length * (np.linalg.pinv(free, rcond=1e-9) @ residual) if metric else plain * residual)
+        reached, answer = _totals(table, plan)
+        if np.linalg.norm(plan.target - reached) < np.linalg.norm(residual) * (1 - 1e-3):
+            plan.reached, free = reached, answer
+        else:
+            plan.steps.pop()
+            if not metric:
+                return plan
+            length /= 4
+    raise RuntimeError(f"the mixture did not settle: reached {plan.reached.tolist()} of {plan.target.tolist()}")
 
 
 def rates(table: DataFrame, plan: Plan) -> DataFrame:
@@ -199,13 +219,13 @@ def mixture(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], key
 def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], text: str = "text", domain: str = "domain", least: float = 1.0, **limits) -> DataFrame:
     """The rows of ``docs``, each as often as its rate says, in all their columns; no shuffle.
 
-    With the default ``least`` of 1 every document stays and scarce domains are repeated.
+    With the default ``least`` of 1 every document stays and scarce domains are repeated.  Null and empty
+    texts have the prior as posterior; repeated rows are repeated alike; an empty table stays empty.
     """
     domains = sorted(targets)
     model = train(labelled, domains, text, domain)
     # the pass over the texts is made once for the fit and once, joined to nothing, for the copies
-    identity = F.xxhash64(*[F.col(c) for c in docs.columns])
-    plan = fit(stored(posteriors(docs, model, identity, text), "posteriors"), targets, domains, least=least, **limits)
+    plan = fit(stored(posteriors(docs, model, F.lit(0), text), "posteriors"), targets, domains, least=least, **limits)
     odds, prior, scale = model
     held = docs.sparkSession.sparkContext.broadcast(odds)
     steps, most, schema, at = plan.steps, plan.most, docs.schema, docs.columns.index(text)

@@ -74,20 +74,23 @@ def read_records(pieces: Iterator[bytes]) -> Iterator[tuple[dict[str, str], byte
 
 
 def inflate(stream) -> Iterator[bytes]:
-    """Pieces of a gzip stream of one or more members, each inflated once."""
+    """Pieces of a gzip stream of one or more members, each inflated once; a stream cut short raises."""
     import zlib
 
-    tool, data = zlib.decompressobj(31), stream.read(PIECE)
+    tool, data, open_member = zlib.decompressobj(31), stream.read(PIECE), False
     while data:
+        open_member = True
         out = tool.decompress(data, PIECE)
         if out:
             yield out
         data = tool.unconsumed_tail
         if tool.eof:
             data = tool.unused_data
-            tool = zlib.decompressobj(31)
+            tool, open_member = zlib.decompressobj(31), False
         if not data:
             data = stream.read(PIECE)
+    if open_member:
+        raise ValueError("the gzip stream ends within a member")
 
 
 def write_monolithic(pages: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
@@ -134,7 +137,9 @@ def write_monolithic(pages: DataFrame, folder: str, archive_bytes: int = ARCHIVE
 
 
 def normalise(archives: DataFrame, source: str, folder: str) -> DataFrame:
-    """Rewrite each archive named in ``archives.file`` record by record; return (file, records, bytes).
+    """Rewrite each archive of (file, records) record by record; return (file, records, bytes).
+
+    An archive whose stream ends early or that has another number of records raises.
 
     ``folder`` gets ``<name>.warc.gz`` of one member a record and ``<name>.idx``, lines of
     offset, length, type, record id and target, tab-separated.
@@ -149,7 +154,7 @@ def normalise(archives: DataFrame, source: str, folder: str) -> DataFrame:
         target.create_dir(into, recursive=True)
         for batch in batches:
             names, counts, sizes = [], [], []
-            for file in batch.column(0).to_pylist():
+            for file, expected in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 name = f"rec-{uuid.uuid4().hex}"
                 offset = count = 0
                 with system.open_input_stream(f"{base}/{file}", compression=None) as data, target.open_output_stream(f"{into}/{name}.warc.gz", compression=None) as out, target.open_output_stream(f"{into}/{name}.idx", compression=None) as index:
@@ -159,12 +164,14 @@ def normalise(archives: DataFrame, source: str, folder: str) -> DataFrame:
                         out.write(member)
                         index.write(f"{offset}\t{len(member)}\t{fields.get('warc-type', '')}\t{fields.get('warc-record-id', '')}\t{fields.get('warc-target-uri', '')}\n".encode())
                         offset, count = offset + len(member), count + 1
+                if count != expected:
+                    raise ValueError(f"{file} has {count} records, {expected} were written")
                 names.append(name)
                 counts.append(count)
                 sizes.append(offset)
             yield pa.record_batch([pa.array(names, pa.string()), pa.array(counts, pa.int64()), pa.array(sizes, pa.int64())], names=["file", "records", "bytes"])
 
-    each = archives.select("file").repartition(max(1, shuffle_partitions(archives.sparkSession)), "file")
+    each = archives.select("file", "records").repartition(max(1, shuffle_partitions(archives.sparkSession)), "file")
     return stored(each.mapInArrow(run, "file string, records long, bytes long"), "normalised")
 
 
@@ -229,7 +236,8 @@ def archive_pages(pages: DataFrame, key: str = "page_id", url: str = "url", html
     spark = pages.sparkSession
     mono, each = shared_dir(spark, "warc"), shared_dir(spark, "warc-records")
     written = write_monolithic(plan_revisits(pages, key, url, html), mono, archive_bytes)
-    records = read_indexed(normalise(written, mono, each), each)
+    normal = normalise(written, mono, each)
+    records = read_indexed(normal, each)
     sound = (F.col("record_type") == "revisit") | ((F.col("digest") == F.col("body_digest")) & (F.col("payload_length") == F.col("body_bytes")))
     return records.select(
         page_of(F.col("record_id")).alias(key),

@@ -211,6 +211,17 @@ def test_warc_round_trip(spark, tmp_path):
         list(warc.read_records([b"WARC/1.1\r\nContent-Length: 9\r\n\r\nabc"]))
 
 
+def test_an_unfinished_gzip_stream_fails():
+    import gzip
+    import io
+
+    whole = gzip.compress(b"a" * 5000) + gzip.compress(bytes(range(256)) * 40)
+    assert b"".join(warc.inflate(io.BytesIO(whole))) == b"a" * 5000 + bytes(range(256)) * 40
+    for cut in (1, 8, 30):  # without the end, without the checksum, within the data
+        with pytest.raises(ValueError):
+            list(warc.inflate(io.BytesIO(whole[:-cut])))
+
+
 def test_url_rules_and_ratio(spark):
     rng = random.Random(2)
     urls = [f"http://h{rng.randrange(99)}.example.net/en/{rng.randrange(999)}" for _ in range(60)] + [f"http://h{rng.randrange(99)}.cheap.net/pills/{rng.randrange(999)}" for _ in range(60)]
@@ -493,6 +504,27 @@ def test_katz_against_plain_counts(spark, docs, odd, empty):
     assert katz.score_documents(empty).count() == 0
 
 
+def test_mixing_fits_scarce_and_soft_domains(spark):
+    rng = np.random.default_rng(5)
+
+    def fitted(posterior, tokens, targets, **limits):
+        table = spark.createDataFrame([(int(n), [float(x) for x in p]) for n, p in zip(tokens, posterior, strict=True)], "tokens long, posterior array<double>")
+        return mixing.fit(table, targets, sorted(targets), **limits)
+
+    hard = np.array([[1.0, 0.0]] * 999 + [[0.0, 1.0]])
+    plan = fitted(hard, [100] * 999 + [10], {"a": 1, "b": 1})
+    assert np.abs(plan.reached - plan.target).max() <= 1e-3 * plan.target.sum()
+    soft = rng.dirichlet([2, 1, 1, 3], 400) * 0.6 + 0.1
+    tokens = rng.integers(1, 500, 400)
+    plan = fitted(soft, tokens, {"a": 0.3, "b": 0.25, "c": 0.25, "d": 0.2})
+    assert np.abs(plan.reached - plan.target).max() <= 1e-3 * plan.target.sum()
+    rate = mixing.rates_of(soft, plan.steps, 0.0, np.inf)
+    assert (rate >= 0).all() and np.allclose((rate * tokens) @ soft, plan.reached)
+    # a target that no non-negative rates reach ends nearer than rates of 1, without an error
+    plan = fitted(soft, tokens, {"a": 1.0, "b": 0.0, "c": 0.0, "d": 0.0})
+    assert np.linalg.norm(plan.target - plan.reached) < 0.8 * np.linalg.norm(plan.target - tokens @ soft)
+
+
 def test_mixing_reaches_its_targets(spark, docs, odd, empty):
     targets = {"en": 0.4, "de": 0.2, "fr": 0.2, "es": 0.2}
     labelled = docs.select("text", F.col("lang").alias("domain"))
