@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-RULES = "Rules:\n- Cite every factual claim with [N] using the source number.\n- If sources do not contain enough information, say so.\n- Do not fabricate facts not present in sources.\n\n"
+RULES = "How to answer:\n* After each statement put the number of the source it rests on, as [N].\n* Where the sources leave the question open, answer that they do.\n* State nothing that no source says.\n\n"
 
 
 def _turns(rows: DataFrame, group: str, order: str, *fields: str) -> DataFrame:
@@ -47,7 +47,7 @@ def invalid_records(records: DataFrame, required: tuple[str, ...]) -> DataFrame:
     return records.agg(F.count(F.lit(1)).alias("records"), *[F.count_if(F.coalesce(F.col(c), F.lit("")) == "").alias(f"missing_{c}") for c in required])
 
 
-def grounded_prompt(results: DataFrame, group: str, order: str, title: str, url: str, body: str, date: Column | None = None, most: int = 1200, persona: str = "You are a research AI. Answer using the sources below.\n") -> DataFrame:
+def grounded_prompt(results: DataFrame, group: str, order: str, title: str, url: str, body: str, date: Column | None = None, most: int = 1200, persona: str = "Answer from the numbered sources below.\n") -> DataFrame:
     """(group, prompt): numbered source blocks after fixed instructions."""
     dated = F.concat(F.lit(" ("), date, F.lit(")")) if date is not None else F.lit(None).cast("string")
     rows = results.select(group, F.struct(F.col(order).alias("o"), F.col(title).alias("t"), F.coalesce(dated, F.lit("")).alias("d"), F.col(url).alias("u"), F.substring(body, 1, most).alias("b")).alias("r"))

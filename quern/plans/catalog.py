@@ -403,7 +403,7 @@ def search_intent(spark, sf_dir):
 
 @query("grounded_prompt", f"""WITH r AS (SELECT page_id % 50 AS grp, page_id, url, regexp_extract(url, '://([^/?#]*)', 1) AS title, regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g') AS body FROM pages),
     n AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY page_id) AS i FROM r)
-    SELECT grp, {quoted('You are a research AI. Answer using the sources below.' + chr(10) + prep.RULES + 'SOURCES:' + chr(10))} || trim(string_agg('[' || i || '] ' || title || chr(10) || 'URL: ' || url || chr(10) || substr(body, 1, 1200), chr(10) || chr(10) ORDER BY i)) || chr(10) AS prompt FROM n GROUP BY grp""")
+    SELECT grp, {quoted('Answer from the numbered sources below.' + chr(10) + prep.RULES + 'SOURCES:' + chr(10))} || trim(string_agg('[' || i || '] ' || title || chr(10) || 'URL: ' || url || chr(10) || substr(body, 1, 1200), chr(10) || chr(10) ORDER BY i)) || chr(10) AS prompt FROM n GROUP BY grp""")
 def grounded_prompt(spark, sf_dir):
     body = F.regexp_replace(F.regexp_replace("html", "<[^>]+>", " "), r"\s+", " ")
     rows = table(spark, sf_dir, "pages").select((F.col("page_id") % 50).alias("grp"), "page_id", "url", F.regexp_extract("url", "://([^/?#]*)", 1).alias("title"), body.alias("body"))
