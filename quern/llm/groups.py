@@ -171,10 +171,12 @@ def by_run(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[list[list]
         yield held
 
 
-def linked(members: DataFrame, prepare: Callable[[list], object], near: Near, most: int = MOST, most_bytes: int = MOST_BYTES) -> DataFrame:
+def linked(members: DataFrame, prepare: Callable[[list], object], near: Near, classes: Callable[[object, int], np.ndarray] | None = None, most: int = MOST, most_bytes: int = MOST_BYTES) -> DataFrame:
     """(a, b): links of members (root, h, payload) that pass the test, enough for its components in each root.
 
     ``members`` must be cheap to read twice (a stored table) and hold each (root, h) once.
+    ``classes`` gives the first member of each class of a part where there is a better way than
+    ``settled``; it must have compared all pairs of different classes.
     """
     size = members.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("payload")).alias("m"))
     parts = F.greatest(F.ceil(F.col("n") / F.lit(most)), F.ceil(F.col("m") / F.lit(most_bytes))).cast("int")
@@ -183,7 +185,8 @@ def linked(members: DataFrame, prepare: Callable[[list], object], near: Near, mo
 
     def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for root, part, parts, h, payload in by_run(batches, 2):
-            seed = settled(prepare(payload), near, len(h))
+            items = prepare(payload)
+            seed = classes(items, len(h)) if classes else settled(items, near, len(h))
             told = np.arange(len(h)) if parts[0] > 1 else np.flatnonzero(seed != np.arange(len(h)))
             names = np.array(h, np.int64)
             yield pa.record_batch([pa.array(np.array(x)[told], t) for x, t in ((root, pa.int64()), (part, pa.int32()), (parts, pa.int32()))] + [pa.array(names[told]), pa.array(names[seed[told]])], names=["root", "part", "parts", "h", "seed"])
@@ -196,34 +199,36 @@ def linked(members: DataFrame, prepare: Callable[[list], object], near: Near, mo
         return links
 
     def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for root, _, _, asks, h, kind, payload in by_run(batches, 3):
+        for root, part, _, asks, h, kind, own, payload in by_run(batches, 3):
             n = asks.index(True) if True in asks else len(asks)
             items, a, b, kinds = prepare(payload), [], [], np.array(kind, np.int64)
             for at in range(n, len(h)):
-                others = np.flatnonzero(kinds[:n] != kinds[at])
+                # two that both ask meet once, in the part of less number
+                others = np.flatnonzero((kinds[:n] != kinds[at]) & ((kinds[:n] == -1) | (own[at] > part[0])))
                 for other in {kinds[k]: k for k in near(items, at, others).tolist()}.values():
                     a.append(h[at])
                     b.append(h[other])
             yield pa.record_batch([pa.array([root[0]] * len(a), pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["root", "a", "b"])
 
     def crossed(told: DataFrame, asking: DataFrame) -> DataFrame:
-        """Links between classes: every asking member against all members of its set that are of another class."""
+        """Links between classes: every asking member against the members of its set that are of another class and
+        not of its own part, where all were compared; a leader's ``own`` is beyond all parts."""
         total = told.groupBy("root").agg(F.count(F.lit(1)).alias("n"))
         asked = asking.groupBy("root").agg(F.count(F.lit(1)).alias("m"), F.max("parts").alias("p"))
         blocks = asked.join(total, "root").select("root", F.ceil(F.col("p") * F.col("m") / F.col("n")).cast("int").alias("blocks"))
         texts = members.withColumnRenamed("root", "_root").withColumnRenamed("h", "_h")
         same = (F.col("root") == F.col("_root")) & (F.col("h") == F.col("_h"))
         spread = lambda n, name: F.explode(F.sequence(F.lit(0), F.col(n) - 1)).alias(name)
-        held = told.join(blocks, "root").join(texts, same).select("root", "part", spread("blocks", "block"), F.lit(False).alias("asks"), "h", "kind", "payload")
+        held = told.join(blocks, "root").join(texts, same).select("root", "part", spread("blocks", "block"), F.lit(False).alias("asks"), "h", "kind", F.lit(0).alias("own"), "payload")
         block = F.pmod(F.xxhash64("h", F.lit(1)), F.col("blocks")).cast("int").alias("block")
-        sent = asking.join(blocks, "root").join(texts, same).select("root", spread("parts", "part"), block, F.lit(True).alias("asks"), "h", "kind", "payload")
-        rows = held.union(sent).repartition("root", "part", "block").sortWithinPartitions("root", "part", "block", "asks", "h")
+        sent = asking.join(blocks, "root").join(texts, same).select("root", spread("parts", "part"), block, F.lit(True).alias("asks"), "h", "kind", "own", "payload")
+        rows = held.union(sent.filter("own != part")).repartition("root", "part", "block").sortWithinPartitions("root", "part", "block", "asks", "h")
         return rows.mapInArrow(across, "root long, a long, b long")
 
     # the leader of the largest class against all of its set; the classes it meets are one with it
     told = wide.select("root", "part", "parts", "h", F.col("seed").alias("kind"))
     classes = told.groupBy("root", "parts", "kind").agg(F.count(F.lit(1)).alias("n"))
-    leaders = stored(classes.groupBy("root", "parts").agg(F.max(F.struct("n", "kind"))["kind"].alias("h")).withColumn("kind", F.col("h")), "leaders")
+    leaders = stored(classes.groupBy("root", "parts").agg(F.max(F.struct("n", "kind"))["kind"].alias("h")).withColumn("kind", F.col("h")).withColumn("own", F.col("parts")), "leaders")
     again = stored(crossed(told, leaders), "links")
     met_kinds = again.join(told, (again["root"] == told["root"]) & (again["b"] == told["h"])).select(told["root"].alias("_root"), F.col("kind").alias("_kind"))
     main = met_kinds.union(leaders.select("root", "h")).distinct()
@@ -231,5 +236,5 @@ def linked(members: DataFrame, prepare: Callable[[list], object], near: Near, mo
     told = told.select("root", "part", "parts", "h", F.when(F.col("_kind").isNull(), F.col("kind")).alias("kind"))
     # what is left against all of other classes; the largest class goes by a name that no member has
     told = stored(told.fillna(-1, ["kind"]), "classes")
-    last = stored(crossed(told, told.filter("kind != -1").select("root", "parts", "h", "kind")), "links")
+    last = stored(crossed(told, told.filter("kind != -1").select("root", "parts", "h", "kind", F.col("part").alias("own"))), "links")
     return links.unionByName(again.select("a", "b")).unionByName(last.select("a", "b"))

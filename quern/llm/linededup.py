@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from quern.llm.common import discard, stored
 from quern.llm.components import components
-from quern.llm.groups import band_keys, filter_bits, linked, met, minima, mixed, odd_factors, passing, pieces
+from quern.llm.groups import band_keys, filter_bits, linked, met, minima, mixed, odd_factors, passing, pieces, settled
 
 #: Digits to 0, white space but line ends to blanks.
 NORMAL = bytes.maketrans(b"123456789\t\r\x0b\x0c", b"000000000    ")
@@ -38,6 +38,8 @@ FACTORS = odd_factors(BANDS * WORD_WIDTH, 1)
 WORDS_FROM, GRAMS_BELOW = 8, 12
 #: Lines of at most so many characters also meet by deletions.
 SHORT = 14
+#: Lines that are compared with one at once.
+LANES = 256
 #: The two blocks of a SimHash.
 BLOCKS = np.array([0xFFFFFFFF, 0xFFFFFFFF << 32], np.uint64)
 
@@ -110,6 +112,32 @@ def distance(a: str, b: str, allowed: int) -> int:
     return score
 
 
+def close(text: str, others: list[str], least: float) -> np.ndarray:
+    """``similar`` of one line to each of others: the bit-parallel columns of all lie in one long integer."""
+    sizes = np.array([len(x) for x in others])
+    width = int(sizes.max()) // 8 * 8 + 8  # a free bit above each line takes the carry
+    inside = np.arange(width) < sizes[:, None]
+    codes = np.zeros(inside.shape, np.uint32)
+    codes[inside] = np.frombuffer("".join(others).encode("utf-32-le"), "<u4")
+
+    def mask(places: np.ndarray) -> int:
+        return int.from_bytes(np.packbits(places, axis=1, bitorder="little").tobytes(), "little")
+
+    where = {c: mask((codes == ord(c)) & inside) for c in set(text)}
+    full, first = mask(inside), mask(np.broadcast_to(np.arange(width) == 0, inside.shape))
+    plus, minus = full, 0
+    for c in text:
+        match = where[c]
+        zero = (((match & plus) + plus) ^ plus) | match | minus
+        up = minus | full & ~(zero | plus)
+        down = plus & zero
+        up = (up << 1 | first) & full
+        plus = (down << 1) & full | full & ~(zero | up)
+        minus = up & zero
+    rose, fell = (np.bitwise_count(np.frombuffer(x.to_bytes(inside.size // 8, "little"), np.uint8)).reshape(len(others), -1).sum(axis=1, dtype=np.int64) for x in (plus, minus))
+    return len(text) + rose - fell <= ((1 - least) * np.maximum(sizes, len(text)) + 1e-9).astype(np.int64)
+
+
 def normal_lines(texts: list[str | None]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     """The normalised lines that have words, the text of each and its number there."""
     data = "\n".join(t or "" for t in texts).lower().encode("utf-8", "replace").translate(NORMAL)
@@ -266,8 +294,27 @@ def asked_lines(docs: DataFrame, text: str, bits: np.ndarray) -> DataFrame:
     return out.groupBy("h", "g").agg(F.first("payload").alias("payload"))
 
 
+def shared_places(table: np.ndarray) -> np.ndarray:
+    """How many keys each two rows of a table share."""
+    n = len(table)
+    rows = np.repeat(np.arange(n), table.shape[1])
+    order = np.argsort(table, axis=None, kind="stable")
+    keys, rows = table.ravel()[order], rows[order]
+    starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+    ends = np.append(starts[1:], len(keys))
+    out = np.zeros((n, n), np.int32)
+    for k in np.flatnonzero(ends - starts > 1):
+        found = np.unique(rows[starts[k] : ends[k]])
+        out[np.ix_(found, found)] += 1
+    np.fill_diagonal(out, 0)
+    return out
+
+
 def like_lines(similarity: float):
-    """Preparation and neighbours of lines: those that share a place and have the edit similarity."""
+    """Preparation, neighbours and classes of lines: those that share a place and have the edit similarity."""
+
+    def allowed(sizes: np.ndarray, size: int) -> np.ndarray:
+        return ((1 - similarity) * np.maximum(sizes, size) + 1e-9).astype(np.int64)
 
     def prepare(payload: list[str]) -> tuple[list[str], np.ndarray | None]:
         if len(payload) <= 8:
@@ -279,12 +326,41 @@ def like_lines(similarity: float):
 
     def near(items: tuple[list[str], np.ndarray | None], at: int, rest: np.ndarray) -> np.ndarray:
         lines, table = items
-        if table is not None:
-            place = np.minimum(np.searchsorted(table[at], table[rest]), table.shape[1] - 1)
-            rest = rest[(table[at][place] == table[rest]).any(axis=1)]
-        return np.array([k for k in rest.tolist() if similar(lines[at], lines[k], similarity)], np.int64)
-
-    return prepare, near
+        if table is None:
+            return np.array([k for k in rest.tolist() if similar(lines[at], lines[k], similarity)], np.int64)
+        place = np.minimum(np.searchsorted(table[at], table[rest]), table.shape[1] - 1)
+        rest = rest[(table[at][place] == table[rest]).any(axis=1)]
+        sizes = np.array([len(lines[k]) for k in rest.tolist()], np.int64)
+        rest = rest[np.abs(sizes - len(lines[at])) <= allowed(sizes, len(lines[at]))]
+        found = [some[close(lines[at], [lines[k] for k in some.tolist()], similarity)] for some in np.split(rest, range(LANES, len(rest), LANES)) if len(some)]
+        return np.concatenate(found) if found else rest
+
+    def classes(items: tuple[list[str], np.ndarray | None], n: int) -> np.ndarray:
+        """The first member of each member's class; pairs that share more come first, pairs inside a class are passed over."""
+        lines, table = items
+        if table is None:
+            return settled(items, near, n)
+        sizes, shares, seed = np.array([len(x) for x in lines]), shared_places(table), np.arange(n)
+
+        def join(a: int, b: int) -> None:
+            if seed[a] != seed[b]:
+                seed[seed == max(seed[a], seed[b])] = min(seed[a], seed[b])
+
+        for at in range(n):
+            shares[at][np.abs(sizes - sizes[at]) > allowed(sizes, sizes[at])] = 0
+            for k in np.argsort(-shares[at], kind="stable")[:4].tolist():  # most classes come together by these
+                if shares[at, k] and seed[at] != seed[k] and aligned(lines[at].split(" "), lines[k].split(" ")) <= (1 - similarity) * max(sizes[at], sizes[k]) + 1e-9:
+                    join(at, k)
+        for at in range(n):
+            rest, lanes = np.flatnonzero(shares[at, :at]), 16
+            rest = rest[np.argsort(-shares[at, rest], kind="stable")]
+            while len(rest := rest[seed[rest] != seed[at]]):
+                some, rest, lanes = rest[:lanes], rest[lanes:], min(4 * lanes, LANES)
+                for k in some[close(lines[at], [lines[k] for k in some.tolist()], similarity)].tolist():
+                    join(at, k)
+        return seed
+
+    return prepare, near, classes
 
 
 def line_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = 0.8, filter_power: int = 23) -> DataFrame:
