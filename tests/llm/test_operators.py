@@ -414,6 +414,47 @@ def test_fuzzy_lines(spark, docs, odd, empty):
     assert linededup.line_groups(spark.createDataFrame(short, "doc_id long, text string")).filter("kept").count() == 2
 
 
+def test_distances_of_many_lines_at_once():
+    draw = random.Random(1)
+
+    def plain(a: str, b: str) -> int:
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            corner, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                corner, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, corner + (x != y))
+        return row[-1]
+
+    for _ in range(100):
+        text = "".join(draw.choice("ab \u00e9") for _ in range(draw.randint(1, 40)))
+        others = ["".join(draw.choice("abc\u00e9\0") for _ in range(draw.randint(1, 40))) for _ in range(5)] + [text[:k] + "x" + text[k + 2 :] for k in range(0, len(text), 3)]
+        for least in (0.8, 0.4):
+            told = [plain(text, x) <= int((1 - least) * max(len(text), len(x)) + 1e-9) for x in others]
+            assert linededup.close(text, others, least).tolist() == told
+
+
+def test_best_first_classes_are_those_of_all_pairs():
+    """Classes of copies with random changes, against a loop over every pair that shares a place."""
+    draw = random.Random(2)
+    words = ["".join(draw.choice("abcdefgh") for _ in range(draw.randint(4, 9))) for _ in range(300)]
+    lines = []
+    for _ in range(4):
+        base = [draw.choice(words) for _ in range(30)]
+        lines += [" ".join(draw.choice(words) if draw.random() < share else w for w in base) for share in (0.02, 0.05, 0.1, 0.15, 0.2, 0.3) for _ in range(5)]
+    lines = sorted(set(lines))
+    prepare, near, classes = linededup.like_lines(0.8)
+    items = prepare(lines)
+    shares = linededup.shared_places(items[1])
+    told = list(range(len(lines)))
+    for a in range(len(lines)):
+        for b in range(a):
+            if shares[a, b] and linededup.distance(lines[a], lines[b], 10**9) <= int(0.2 * max(len(lines[a]), len(lines[b])) + 1e-9):
+                u, v = sorted((told[a], told[b]))
+                told = [u if x == v else x for x in told]
+    assert 4 < len(set(told)) < len(lines)
+    assert classes(items, len(lines)).tolist() == told
+
+
 def test_fuzzy_lines_meet_whatever_the_keys(spark):
     rng = random.Random(3)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, 9)))
