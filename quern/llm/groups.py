@@ -171,12 +171,14 @@ def by_run(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[list[list]
         yield held
 
 
-def linked(members: DataFrame, prepare: Callable[[list], object], near: Near, classes: Callable[[object, int], np.ndarray] | None = None, most: int = MOST, most_bytes: int = MOST_BYTES) -> DataFrame:
+def linked(members: DataFrame, prepare: Callable[[list], object], near: Near, classes: Callable[[object, int], np.ndarray] | None = None, kinds_near: Callable[[object, int, np.ndarray, np.ndarray], np.ndarray] | None = None, most: int = MOST, most_bytes: int = MOST_BYTES) -> DataFrame:
     """(a, b): links of members (root, h, payload) that pass the test, enough for its components in each root.
 
     ``members`` must be cheap to read twice (a stored table) and hold each (root, h) once.
     ``classes`` gives the first member of each class of a part where there is a better way than
-    ``settled``; it must have compared all pairs of different classes.
+    ``settled``; it must have compared all pairs of different classes.  ``kinds_near`` is told
+    the kinds of all and finds at least one neighbour of each kind that has any; ``most`` and
+    ``most_bytes`` bound a part, and so the comparisons of one task, which are quadratic in it.
     """
     size = members.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("payload")).alias("m"))
     parts = F.greatest(F.ceil(F.col("n") / F.lit(most)), F.ceil(F.col("m") / F.lit(most_bytes))).cast("int")
@@ -205,7 +207,8 @@ def linked(members: DataFrame, prepare: Callable[[list], object], near: Near, cl
             for at in range(n, len(h)):
                 # two that both ask meet once, in the part of less number
                 others = np.flatnonzero((kinds[:n] != kinds[at]) & ((kinds[:n] == -1) | (own[at] > part[0])))
-                for other in {kinds[k]: k for k in near(items, at, others).tolist()}.values():
+                found = kinds_near(items, at, others, kinds) if kinds_near else near(items, at, others)
+                for other in {kinds[k]: k for k in found.tolist()}.values():
                     a.append(h[at])
                     b.append(h[other])
             yield pa.record_batch([pa.array([root[0]] * len(a), pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["root", "a", "b"])

@@ -40,6 +40,8 @@ WORDS_FROM, GRAMS_BELOW = 8, 12
 SHORT = 14
 #: Lines that are compared with one at once.
 LANES = 256
+#: Bytes of lines in a part of a large set: what one task compares is quadratic in them.
+PART_BYTES = 128 << 10
 #: The two blocks of a SimHash.
 BLOCKS = np.array([0xFFFFFFFF, 0xFFFFFFFF << 32], np.uint64)
 
@@ -311,7 +313,7 @@ def shared_places(table: np.ndarray) -> np.ndarray:
 
 
 def like_lines(similarity: float):
-    """Preparation, neighbours and classes of lines: those that share a place and have the edit similarity."""
+    """Preparation, neighbours, classes and neighbours by kind of lines: those that share a place and have the edit similarity."""
 
     def allowed(sizes: np.ndarray, size: int) -> np.ndarray:
         return ((1 - similarity) * np.maximum(sizes, size) + 1e-9).astype(np.int64)
@@ -360,7 +362,24 @@ def like_lines(similarity: float):
                     join(at, k)
         return seed
 
-    return prepare, near, classes
+    def kinds_near(items: tuple[list[str], np.ndarray | None], at: int, rest: np.ndarray, kinds: np.ndarray) -> np.ndarray:
+        """A neighbour of each kind that has any; what shares more comes first, a kind that is met is passed over."""
+        lines, table = items
+        if table is None:
+            return near(items, at, rest)
+        place = np.minimum(np.searchsorted(table[at], table[rest]), table.shape[1] - 1)
+        shares = (table[at][place] == table[rest]).sum(axis=1)
+        sizes = np.array([len(lines[k]) for k in rest.tolist()], np.int64)
+        shares[np.abs(sizes - len(lines[at])) > allowed(sizes, len(lines[at]))] = 0
+        order = np.argsort(-shares, kind="stable")[: np.count_nonzero(shares)]
+        found, rest, lanes = [], rest[order], 16
+        while len(rest):
+            some, rest, lanes = rest[:lanes], rest[lanes:], min(4 * lanes, LANES)
+            found.append(some[close(lines[at], [lines[k] for k in some.tolist()], similarity)])
+            rest = rest[~np.isin(kinds[rest], kinds[found[-1]])]
+        return np.concatenate(found) if found else rest
+
+    return prepare, near, classes, kinds_near
 
 
 def line_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = 0.8, filter_power: int = 23) -> DataFrame:
@@ -379,7 +398,7 @@ def line_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", simila
     texts = asked_lines(docs, text, filter_bits(asked, filter_power)).join(nodes.select("h", "g", "id"), ["h", "g"])
     members = stored(asked.join(texts, "h").select("root", F.col("id").alias("h"), "payload"), "members")
 
-    roots = components(linked(members, *like_lines(similarity)))
+    roots = components(linked(members, *like_lines(similarity), most_bytes=PART_BYTES))
     told = nodes.join(roots, nodes["id"] == roots["node"]).select("id", "first", "root")
     least = stored(told.groupBy("root").agg(F.min("first").alias("stays")), "first-lines")
     changed = stored(told.join(least, "root").select(F.col("id").alias("node"), F.col("root").alias("group"), "stays"), "line-groups")

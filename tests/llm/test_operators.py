@@ -442,7 +442,7 @@ def test_best_first_classes_are_those_of_all_pairs():
         base = [draw.choice(words) for _ in range(30)]
         lines += [" ".join(draw.choice(words) if draw.random() < share else w for w in base) for share in (0.02, 0.05, 0.1, 0.15, 0.2, 0.3) for _ in range(5)]
     lines = sorted(set(lines))
-    prepare, near, classes = linededup.like_lines(0.8)
+    prepare, _, classes, kinds_near = linededup.like_lines(0.8)
     items = prepare(lines)
     shares = linededup.shared_places(items[1])
     told = list(range(len(lines)))
@@ -453,6 +453,12 @@ def test_best_first_classes_are_those_of_all_pairs():
                 told = [u if x == v else x for x in told]
     assert 4 < len(set(told)) < len(lines)
     assert classes(items, len(lines)).tolist() == told
+    kinds = np.array([k % 3 for k in range(len(lines))])
+    for at in range(len(lines)):  # one of each kind that has a neighbour, and neighbours alone
+        rest = np.array([k for k in range(len(lines)) if k != at])
+        near = {k for k in rest.tolist() if shares[at, k] and linededup.distance(lines[at], lines[k], 10**9) <= int(0.2 * max(len(lines[at]), len(lines[k])) + 1e-9)}
+        found = set(kinds_near(items, at, rest, kinds).tolist())
+        assert found <= near and {kinds[k] for k in found} == {kinds[k] for k in near}
 
 
 def test_fuzzy_lines_meet_whatever_the_keys(spark):
