@@ -80,4 +80,5 @@ LIVE = r"\btoday\b|\bnow\b|\bcurrent(ly)?\b|\blatest\b|\brecent(ly)?\b|\bright n
 FACTUAL = ("who is", "what is the", "where is", "when is", "how much is")
 # Fixed values, as published: log lines and token splitting.
 LOG_LINE = r"^(\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2})\s+\|\s+(\w+)\s+\|\s+([^|]+)\s+\|\s+(.+)"
+LEGACY_SPLIT = r"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\w+| ?[^\s\w]+|\s+(?!\S)|\s+"
 PRE_SPLIT = r"(?U)'(?:s|t|re|ve|m|ll|d)| ?[^\W\d_]+| ?\d| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+"

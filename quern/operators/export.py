@@ -49,6 +49,22 @@ def write_shards(docs: DataFrame, path: str, source: str = "source", max_records
     docs.write.partitionBy(source).option("maxRecordsPerFile", str(max_records)).json(path)
 
 
+def write_rolling(docs: DataFrame, path: str, source: str = "source", order: str = "doc_id", text: str = "text", max_records: int = 1_000_000, max_bytes: int = 1 << 30, suffix: str = "") -> None:
+    """JSON lines by source and rolling shard, bounded by records and bytes; ``suffix`` marks a rejected sink's sources.
+
+    A shard is a folder of its own, so that reading one back is a partition filter.
+    """
+    sized = docs.withColumn("_bytes", F.octet_length(text).cast("long"))
+    placed = shard_ids(sized, source, order, "_bytes", max_records, max_bytes).drop("_bytes")
+    placed.withColumn(source, F.concat(source, F.lit(suffix))).write.partitionBy(source, "shard").json(path)
+
+
+def write_cleaned(lines: DataFrame, path: str, file: str = "file", line: str = "line", order: str = "line_no") -> None:
+    """Cleaned lines as text, a folder for each input file, in their order."""
+    rows = lines.repartitionByRange(file, order).sortWithinPartitions(file, order)
+    rows.select(F.col(file).alias("file"), F.col(line).alias("value")).write.partitionBy("file").text(path)
+
+
 def checksums(docs: DataFrame, path: str) -> DataFrame:
     """(file, sha256) of the written files."""
     files = docs.sparkSession.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
@@ -84,16 +100,43 @@ def shard_ids(rows: DataFrame, group: str, order: str, size: str, max_records: i
     return rows.repartition(group).sortWithinPartitions(group, order).mapInArrow(run, schema)
 
 
-def quota_admission(rows: DataFrame, group: str, order: str, size: str, quotas: DataFrame | None = None) -> DataFrame:
-    """Add used_before and admitted: rows pass while what came before is below the source's quota (0: none)."""
+def running_before(rows: DataFrame, group: str | None, order: str, size: str, name: str, parts: int = 64) -> DataFrame:
+    """Add ``name``: the sum of ``size`` over the rows of the group (or of all) with a lesser ``order``, a number.
+
+    The range of ``order`` is cut at ``parts`` - 1 quantiles, the only values that reach the driver,
+    so that a group of any size is summed by several tasks; each adds what the ranges before it hold.
+    Equal orders fall into one range; null orders come first; an empty table gives an empty result.
+    """
+    cuts = rows.agg(F.percentile_approx(order, [k / parts for k in range(1, parts)], 1000).alias("c")).first()["c"]
+    below = F.array(*[F.lit(c) for c in sorted(set(cuts or [0]))])
+    placed = rows.withColumn("_range", F.when(F.col(order).isNull(), F.lit(-1)).otherwise(F.size(F.filter(below, lambda c: F.col(order) > c))))
+    by = [group] if group else []
+    sums = placed.groupBy(*by, "_range").agg(F.sum(size).alias("_n"))
+    earlier = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    base = sums.select(*[F.col(c).alias("_group") for c in by], F.col("_range").alias("_at"), F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_base"))
+    same = F.col("_range") == F.col("_at")
+    met = placed.join(base, same & F.col(group).eqNullSafe(F.col("_group")) if group else same)
+    inside = Window.partitionBy(*by, "_range").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    return met.withColumn(name, F.col("_base") + F.coalesce(F.sum(size).over(inside), F.lit(0))).drop("_range", "_at", "_base", "_group")
+
+
+def quota_admission(rows: DataFrame, group: str, order: str, size: str, quotas: DataFrame | None = None, most_bytes: int = 0) -> DataFrame:
+    """Add used_before and admitted: rows pass while what came before is below the source's quota (0: none).
+
+    ``most_bytes`` is a quota over all sources, in the same order.  What came before only grows, so
+    a source that is paused stays so.
+    """
     out = rows
     if quotas is not None:
         out = rows.join(quotas, group, "left")
     else:
         out = rows.withColumn("max_bytes", F.lit(0))
-    before = F.coalesce(F.sum(size).over(Window.partitionBy(group).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    out = out.withColumn("max_bytes", F.coalesce("max_bytes", F.lit(0))).withColumn("used_before", before)
-    return out.withColumn("admitted", (F.col("max_bytes") == 0) | (F.col("used_before") < F.col("max_bytes")))
+    out = running_before(out.withColumn("max_bytes", F.coalesce("max_bytes", F.lit(0))), group, order, size, "used_before")
+    admitted = (F.col("max_bytes") == 0) | (F.col("used_before") < F.col("max_bytes"))
+    if most_bytes:
+        out = running_before(out, None, order, size, "all_before")
+        admitted = admitted & (F.col("all_before") < most_bytes)
+    return out.withColumn("admitted", admitted)
 
 
 def manifest(docs: DataFrame, text: str = "text", source: str = "source") -> DataFrame:
@@ -118,8 +161,15 @@ def train_val_split(names: DataFrame, name: str, fraction: float = 0.1, seed: in
     return ranked.join(F.broadcast(total)).select(name, F.when((F.col("_t") > 1) & (F.col("_r") <= cut), "val").otherwise("train").alias("split"))
 
 
+def natural_key(name: Column) -> Column:
+    """A key whose order is that of the name's text parts and numbers: each number follows its length."""
+    def part(p: Column) -> Column:
+        digits = F.regexp_replace(p, "^0+(?=\\d)", "")
+        return F.when(p.rlike(r"^\d"), F.concat(F.lpad(F.length(digits).cast("string"), 6, "0"), digits)).otherwise(p)
+
+    return F.array_join(F.transform(F.regexp_extract_all(F.lower(name), F.lit(r"\d+|\D+"), F.lit(0)), part), "")
+
+
 def natural_order(names: DataFrame, name: str) -> DataFrame:
     """Order by the name's text parts and numbers, digits by value."""
-    low = F.lower(F.col(name))
-    padded = F.array_join(F.transform(F.regexp_extract_all(low, F.lit(r"\d+|\D+"), F.lit(0)), lambda p: F.when(p.rlike(r"^\d"), F.lpad(p, 20, "0")).otherwise(p)), "")
-    return names.orderBy(padded, name)
+    return names.orderBy(natural_key(F.col(name)), name)

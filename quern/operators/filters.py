@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions import rules
-from quern.functions.text import adjacent, blank_if_null, capitals, count_of, digits, letters, sentence_count, words
+from quern.functions.text import adjacent, blank_if_null, capitals, count_of, digits, letters, sentence_count, strip, words
 
 
 def script_language(text: Column) -> Column:
@@ -55,6 +55,30 @@ def safety_gate(docs: DataFrame, text: str = "text", max_spam_density: float = 3
     return out.withColumn("safety_rule", rule)
 
 
+def safety_signals(docs: DataFrame, text: str = "text", scorer=None, max_toxicity: float = 0.80, max_hate: float = 0.70, max_explicit: float = 0.85) -> DataFrame:
+    """safety_gate, and on accepted rows toxicity_score, hate_score, explicit_score, spam_probability (null on others).
+
+    ``scorer`` turns the first 512 characters of a text into struct(toxicity, hate, explicit),
+    such as a Pandas UDF over a model; its limits come after the pattern rules, a null struct passes.
+    Without one the three scores are 0 and the spam density gives spam_probability.
+    """
+    out = safety_gate(docs, text)
+    density = F.col("spam_hits") / (F.greatest(F.col("n_words"), F.lit(1)) / 100)
+    kinds = ("toxicity", "hate", "explicit")
+    if scorer is None:
+        scores = {k: F.lit(0.0) for k in kinds}
+    else:
+        head = F.when(F.col("safety_rule").isNull(), F.substring(blank_if_null(F.col(text)), 1, 512))
+        out = out.withColumn("_scores", scorer(head))
+        scores = {k: F.coalesce(F.col(f"_scores.{k}"), F.lit(0.0)) for k in kinds}
+        over = F.when(scores["toxicity"] > max_toxicity, "model_toxicity").when(scores["hate"] > max_hate, "model_hate").when(scores["explicit"] > max_explicit, "model_explicit")
+        out = out.withColumn("safety_rule", F.coalesce("safety_rule", over))
+    kept = F.col("safety_rule").isNull()
+    spam = F.lit(0.0) if scorer is not None else density / 10
+    told = {f"{k}_score": F.when(kept, scores[k]) for k in kinds} | {"spam_probability": F.when(kept, spam)}
+    return out.withColumns(told).drop("_scores")
+
+
 def quality_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     """Add the integer counts that all quality signals derive from; one pass of built-in functions."""
     t = blank_if_null(F.col(text))
@@ -92,6 +116,22 @@ def quality_signals(docs: DataFrame, text: str = "text", min_alpha: float = 0.50
     return out.withColumn("overall_quality", F.greatest(F.lit(0.0), F.least(F.lit(1.0), total + F.lit(0.5))))
 
 
+def short_line_ratio(text: Column, short: int = 20) -> Column:
+    """Lines of 1 to ``short`` - 1 characters among the lines that are not blank."""
+    sizes = F.filter(F.transform(F.split(blank_if_null(text), "\n"), lambda x: F.length(strip(x))), lambda n: n > 0)
+    return F.size(F.filter(sizes, lambda n: n < short)) / F.greatest(F.size(sizes), F.lit(1))
+
+
+def derived_signals(docs: DataFrame, text: str = "text") -> DataFrame:
+    """quality_signals, the signals that follow from them, and the short-line ratio."""
+    cap = lambda c: F.least(c, F.lit(1.0))
+    return quality_signals(docs, text).withColumns({
+        "coherence_score": F.col("paragraph_ratio"), "readability_score": cap(F.col("mean_sentence_length") / 20),
+        "reasoning_quality": cap(F.col("educational_density") * F.col("paragraph_ratio") * F.lit(1.5)), "spam_probability": cap(F.col("boilerplate_ratio") + F.col("url_density") / 10),
+        "short_line_ratio": short_line_ratio(F.col(text)),
+    })
+
+
 def quality_gate(docs: DataFrame, text: str = "text", min_words: int = 20, min_alpha: float = 0.50, max_digit: float = 0.30, max_upper: float = 0.20, max_repetition: float = 0.25, max_boilerplate: float = 0.15, max_markup: float = 0.05, min_quality: float = 0.35) -> DataFrame:
     """quality_signals and quality_rule; the character ratios are compared after rounding to 4 places."""
     rounded = lambda c: F.round(F.col(c), 4)

@@ -3,22 +3,33 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """A checkpoint in the shared folder that the session names; a temporary one only on a single machine."""
-    spark = df.sparkSession
+def shared_base(spark: SparkSession) -> str:
+    """The shared folder that the session names; a temporary one only on a single machine."""
     context = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not base:
+        if not context.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="quern-")
     if context.getCheckpointDir() is None:
-        base = spark.conf.get("spark.checkpoint.dir", None)
-        if not base:
-            if not context.master.startswith("local["):
-                raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-            base = "file://" + tempfile.mkdtemp(prefix="quern-")
         context.setCheckpointDir(base)
+    return base
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A fresh folder for files that driver and executors share."""
+    return f"{shared_base(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """A checkpoint in the shared folder."""
+    shared_base(df.sparkSession)
     return df.checkpoint()
 
 

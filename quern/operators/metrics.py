@@ -88,6 +88,36 @@ def perplexity(nll: Column, tokens: Column, cap: float = 50.0) -> Column:
     return F.exp(F.least(nll / F.greatest(tokens, F.lit(1)), F.lit(cap)))
 
 
+def bits_per_byte(nll: Column, n_bytes: Column) -> Column:
+    return nll / F.lit(0.6931471805599453) / F.greatest(n_bytes, F.lit(1))
+
+
+def tiered(rows: DataFrame, tiers: DataFrame, key: str, limit: int = 60, seconds: int = 60) -> DataFrame:
+    """Add limit and window_sec of the row's key from (key, limit, window_sec), else the given defaults."""
+    told = tiers.select(F.col(key).alias("_key"), F.col("limit").alias("_limit"), F.col("window_sec").alias("_seconds"))
+    met = rows.join(told, rows[key] == told["_key"], "left")
+    return met.withColumn("limit", F.coalesce("_limit", F.lit(limit))).withColumn("window_sec", F.coalesce("_seconds", F.lit(seconds))).drop("_key", "_limit", "_seconds")
+
+
+def stage_rates(rows: DataFrame, rule: str, stages: dict[str, tuple[str, ...]]) -> DataFrame:
+    """(stage, docs_in, docs_out, rejected, reject_rate in percent): what each stage's rules took, in order.
+
+    One aggregate of counts; the stages are rows of its single result.
+    """
+    counts = rows.agg(F.count(F.lit(1)).alias("n"), *[F.count_if(F.col(rule).isin(*rules)).alias(f"r{k}") for k, rules in enumerate(stages.values())])
+    told, before = [], F.col("n")
+    for k, name in enumerate(stages):
+        gone = F.col(f"r{k}")
+        told.append(F.struct(F.lit(name).alias("stage"), before.alias("docs_in"), (before - gone).alias("docs_out"), gone.alias("rejected"), F.round(gone * 100.0 / F.greatest(before, F.lit(1)), 1).alias("reject_rate")))
+        before = before - gone
+    return counts.select(F.explode(F.array(*told)).alias("s")).select("s.*")
+
+
+def append_records(rows: DataFrame, path: str) -> None:
+    """Metric or event records as JSON lines, added to what is there; nothing is rewritten."""
+    rows.write.mode("append").json(path)
+
+
 def usage(docs: DataFrame, source: str = "source", text: str = "text") -> DataFrame:
     """Bytes and records by source, with a total row (null source)."""
     return docs.rollup(source).agg(F.sum(F.octet_length(text)).alias("used_bytes"), F.count(F.lit(1)).alias("records"))

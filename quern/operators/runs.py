@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -48,6 +50,23 @@ def pending(files: DataFrame, done: DataFrame, name: str) -> DataFrame:
     return files.join(done.select(name), name, "left_anti")
 
 
+def composed(rows: DataFrame, stages: dict[str, Callable[[DataFrame], DataFrame]], toggles: dict[str, bool] | None = None) -> DataFrame:
+    """The stages that are not switched off, one after another; an unknown name in ``toggles`` is an error."""
+    if unknown := set(toggles or {}) - set(stages):
+        raise ValueError(f"no such stages: {sorted(unknown)}")
+    for name, stage in stages.items():
+        if (toggles or {}).get(name, True):
+            rows = rows.transform(stage)
+    return rows
+
+
+def lineage(spark: SparkSession, run: str, model: str, checkpoint: str | None, parent: str | None, dataset: str | None, settings: dict, results: dict) -> DataFrame:
+    """One row that tells where a model's checkpoint comes from; appended to an audit table by the caller."""
+    row = (run, model, checkpoint, parent, dataset, json.dumps(settings, sort_keys=True), {k: float(v) for k, v in results.items()})
+    out = spark.createDataFrame([row], "run_id string, model_id string, checkpoint_path string, parent_checkpoint string, dataset_hash string, config_snapshot string, metrics map<string,double>")
+    return out.withColumn("timestamp", F.current_timestamp())
+
+
 def status_counts(records: DataFrame, status: str = "status") -> DataFrame:
     """One row: stages done, failed, running and pending."""
     return records.agg(*[F.count_if(F.col(status) == s).alias(s) for s in ("completed", "failed", "running", "pending")])

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,6 +16,7 @@ from pyspark.sql import types as T
 from quern.functions import rules
 from quern.functions.text import strip, word_count
 from quern.operators.enrich import book_text, host, html_text, post_body, wikitext
+from quern.operators.export import natural_key, shard_ids
 from quern.schema import DEFAULTS, DOCUMENT
 
 
@@ -171,6 +173,39 @@ def sampled_lines(spark: SparkSession, path: str, quota: int) -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy("file").orderBy(F.xxhash64("value"), "value"))).filter(F.col("_n") <= quota).select("value", "file")
 
 
+def lines_after(spark: SparkSession, path: str, skip: int = 0) -> DataFrame:
+    """(file, line_no, value) of the non-empty lines after the first ``skip`` of each file, untrimmed; a file is one row until it is split."""
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", r"\r\n|\r|\n")).alias("line_no", "value"))
+    return files.filter((F.col("line_no") >= skip) & (F.col("value") != ""))
+
+
+def tail(lines: DataFrame, most: int, file: str = "file", order: str = "line_no", value: str = "value") -> DataFrame:
+    """The last ``most`` non-blank lines, the last file in natural order first; a top-k, not a sort of all."""
+    rows = lines.withColumn(value, strip(F.col(value))).filter(F.col(value) != "")
+    return rows.orderBy(F.desc(natural_key(F.col(file))), F.desc(order)).limit(most)
+
+
+def chunks(lines: DataFrame, size: int, file: str = "file", order: str = "line_no", value: str = "value") -> DataFrame:
+    """Add chunk: a chunk of a file's lines, blank ones too, ends once it holds ``size`` characters."""
+    sized = lines.withColumn("_n", F.length(value).cast("long"))
+    return shard_ids(sized, file, order, "_n", 1 << 62, size, after=True).drop("_n").withColumnRenamed("shard", "chunk")
+
+
+def dump_link(page: Column, base: str) -> Column:
+    """The first link to a multistream article dump in an index page, else to a plain one, else null."""
+    found = lambda name: F.regexp_extract(page, f'href="([^"]*{name}[.]xml[.]bz2)"', 1)
+    best, plain = found("pages-articles-multistream"), found("pages-articles")
+    return F.when(best != "", F.concat(F.lit(base), best)).when(plain != "", F.concat(F.lit(base), plain))
+
+
+def archive_paths(spark: SparkSession, path: str, base: str, most: int, fallback: tuple[str, ...] = ()) -> list[str]:
+    """The first ``most`` archive addresses of a (compressed) list, or those given if it cannot be read."""
+    try:
+        return [base + r["value"] for r in spark.read.text(path).filter("trim(value) <> ''").limit(most).collect()]
+    except AnalysisException:
+        return list(fallback[:most])
+
+
 def prune(sources: DataFrame, name: str = "source", only=(), skip=(), completed: DataFrame | None = None) -> DataFrame:
     """The sources to run: wanted, not skipped, not completed."""
     out = sources.filter(F.col(name).isin(*only)) if only else sources

@@ -30,6 +30,24 @@ def sessions(stream: DataFrame, at: str = "ts", user: str = "user_id", gap: str
     return stream.withWatermark(at, late).groupBy(F.session_window(at, gap), user).agg(F.count(F.lit(1)).alias("n"))
 
 
+def joined(left: DataFrame, right: DataFrame, key: str, at: str = "ts", within: str = "10 minutes", late: str = "10 minutes") -> DataFrame:
+    """Pairs of events of two streams with one key, the right one at most ``within`` after the left; watermarks bound the state."""
+    a = left.withWatermark(at, late).select([F.col(c).alias(f"left_{c}") for c in left.columns])
+    b = right.withWatermark(at, late).select([F.col(c).alias(f"right_{c}") for c in right.columns])
+    time = F.expr(f"right_{at} >= left_{at} AND right_{at} <= left_{at} + INTERVAL {within}")
+    return a.join(b, (F.col(f"left_{key}") == F.col(f"right_{key}")) & time)
+
+
+def fan_out(*writers: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
+    """A batch writer that hands each batch to every given one, in order."""
+
+    def put(batch: DataFrame, number: int) -> None:
+        for write in writers:
+            write(batch, number)
+
+    return put
+
+
 def run_available(stream: DataFrame, checkpoint: str, batch: Callable[[DataFrame, int], None], mode: str = "append") -> None:
     """Process what is there in micro-batches and stop."""
     stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(batch).start().awaitTermination()
