@@ -400,11 +400,11 @@ def line_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", simila
 
     roots = components(linked(members, *like_lines(similarity), most_bytes=PART_BYTES))
     told = nodes.join(roots, nodes["id"] == roots["node"]).select("id", "first", "root")
-    least = stored(told.groupBy("root").agg(F.min("first").alias("stays")), "first-lines")
-    changed = stored(told.join(least, "root").select(F.col("id").alias("node"), F.col("root").alias("group"), "stays"), "line-groups")
+    least = told.groupBy("root").agg(F.min("first").alias("stays"))
+    changed = told.join(least, "root").select(F.col("id").alias("node"), F.col("root").alias("group"), "stays")
     named = nodes.join(changed, nodes["id"] == changed["node"], "left").select("h", "g", F.coalesce("group", "id").alias("group"), F.coalesce("stays", "first").alias("stays"))
     named = stored(named, "node-groups")
-    for table in (asked, members, least, changed, nodes):
+    for table in (asked, members, nodes):
         discard(table)
     out = lines.join(named, ["h", "g"]).select("key", "n", "group", F.struct("key", "n").eqNullSafe(F.col("stays")).alias("kept"))
     return out.withColumnRenamed("key", key)
