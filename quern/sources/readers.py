@@ -175,8 +175,13 @@ def sampled_lines(spark: SparkSession, path: str, quota: int) -> DataFrame:
 
 def lines_after(spark: SparkSession, path: str, skip: int = 0) -> DataFrame:
     """(file, line_no, value) of the non-empty lines after the first ``skip`` of each file, untrimmed; a file is one row until it is split."""
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", r"\r\n|\r|\n")).alias("line_no", "value"))
-    return files.filter((F.col("line_no") >= skip) & (F.col("value") != ""))
+    return skip_lines(spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value"), skip)
+
+
+def skip_lines(files: DataFrame, skip: int = 0, breaks: str = r"\r\n|\r|\n") -> DataFrame:
+    """(file, line_no, value) as of ``lines_after`` for whole files in rows of (file, value), as a container of many small files holds them."""
+    lines = files.select("file", F.posexplode(F.split("value", breaks)).alias("line_no", "value"))
+    return lines.filter((F.col("line_no") >= skip) & (F.col("value") != ""))
 
 
 def tail(lines: DataFrame, most: int, file: str = "file", order: str = "line_no", value: str = "value") -> DataFrame:

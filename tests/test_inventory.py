@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quern.operators import export, metrics, runs, tokenizer
+from quern.plans import inventory
 from quern.sources import readers
 from quern.sources.ranges import HttpRanges
 from quern.streaming import streams
@@ -131,3 +132,14 @@ def test_streams_join_and_fan_out(spark, tmp_path):
     both = streams.fan_out(*[lambda batch, n, to=to: to.extend(r["left_k"] for r in batch.collect()) for to in seen])
     streams.run_available(streams.joined(*opened, "k"), str(tmp_path / "c"), both)
     assert seen == ([1], [1])
+
+
+def test_lines_skipped_in_many_small_files(spark, tmp_path):
+    texts = {-3: "a\nb\nc\n\n d ", 0: "", 4: None, 5: "a\nb\nc\rd\ne", 6: "x\n\n\ny"} | {k: f"1\n2\n{k}" for k in range(10, 60)}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    found = inventory.skipped_lines(spark, str(tmp_path))
+    want = {(k, n, line) for k, t in texts.items() for n, line in enumerate((t or "").split("\n")) if n >= 2 and line}
+    assert sorted(map(tuple, found.collect())) == sorted(want)
+    assert len(found.inputFiles()) < 20  # not one for each document
+    (tmp_path / "a.txt").write_text("1\n2\r\n3\r4\n")
+    assert [(r["line_no"], r["value"]) for r in readers.lines_after(spark, str(tmp_path / "a.txt"), 2).collect()] == [(2, "3"), (3, "4")]
