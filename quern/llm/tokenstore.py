@@ -18,8 +18,10 @@ from pyspark.sql import functions as F
 
 from quern.llm.common import shuffle_partitions
 
-#: Chunks whose ids a worker remembers before it starts anew.
-REMEMBERED = 120_000
+#: Chunks whose ids a worker remembers, and those it keeps when there are more: the most used ones.
+REMEMBERED, KEPT = 120_000, 80_000
+#: Bytes of texts that are encoded together.
+TOGETHER = 1 << 20
 
 
 class Encoder:
@@ -28,17 +30,17 @@ class Encoder:
     White space only separates for this kind of tokenizer (its splitting pattern never matches
     any), so a text's ids are those of its chunks between ASCII white space.  A chunk of plain
     Latin letters with trailing punctuation goes straight to the library's merge model, any other
-    through the whole tokenizer.
+    through the whole tokenizer.  ``end`` is the id that closes a text.
     """
 
-    def __init__(self, file: str) -> None:
+    def __init__(self, file: str, end: int = 0) -> None:
         import json
         import re
         import unicodedata  # noqa: F401
 
         from tokenizers import Tokenizer, models
 
-        self.whole = Tokenizer.from_file(file)
+        self.end, self.whole = end, Tokenizer.from_file(file)
         spec = json.load(open(file, encoding="utf-8"))
         model = spec["model"]
         merges = [tuple(x) if isinstance(x, list) else tuple(x.split(" ")) for x in model["merges"]]
@@ -50,31 +52,35 @@ class Encoder:
         hidden = [b for b in range(256) if b not in set(shown)]
         self.bytes = dict(zip([*shown, *hidden], [*shown, *range(256, 256 + len(hidden))], strict=True))
         self.split = re.compile(r"([A-Za-zÀ-ÖØ-öø-įı-ƺ]*)([!-&(-/:-@\[-`{-~]*)").fullmatch
-        self.turn()
+        self.at: dict[bytes, int] = {}
+        self.flat, self.starts, self.sizes = array("i"), array("q"), array("i")
+        self.uses = np.empty(0, np.int64)
 
     def turn(self) -> None:
-        """Forget all chunks."""
-        chunk = self.chunk
-
-        class Known(dict):
-            def __missing__(self, raw: bytes) -> int:
-                n = self[raw] = chunk(raw)
-                return n
-
-        self.at: dict[bytes, int] = Known()
-        self.flat, self.starts, self.sizes = array("i"), array("q"), array("i")
+        """Forget all chunks but the most used; what they were used before counts half from now on."""
+        kept = np.sort(np.argsort(-self.uses, kind="stable")[:KEPT])
+        kept = kept[self.uses[kept] > 1]
+        chunks, flat = list(self.at), np.frombuffer(self.flat, np.int32)  # chunks are numbered as they were put in
+        starts, sizes = np.frombuffer(self.starts, np.int64)[kept], np.frombuffer(self.sizes, np.int32)[kept]
+        self.uses = self.uses[kept] // 2
+        self.at = {chunks[k]: n for n, k in enumerate(kept.tolist())}
+        before = np.cumsum(sizes, dtype=np.int64) - sizes
+        flat = flat[np.arange(sizes.sum(dtype=np.int64)) + np.repeat(starts - before, sizes)]
+        self.flat, self.starts, self.sizes = array("i", flat.tobytes()), array("q", before.tobytes()), array("i", sizes.tobytes())
+
+    def learn(self, chunks: set[bytes]) -> None:
+        """Remember new chunks; the empty one stands for the end of a text."""
+        for raw in chunks:
+            ids = self.encode_chunk(raw.decode("utf-8", "replace")) if raw else [self.end]
+            self.at[raw] = len(self.sizes)
+            self.starts.append(len(self.flat))
+            self.sizes.append(len(ids))
+            self.flat.extend(ids)
 
     def word(self, text: str) -> list[int]:
         raw = text if text.isascii() else text.encode().decode("latin-1").translate(self.bytes)
         return [t.id for t in self.model.tokenize(raw)]
 
-    def chunk(self, raw: bytes) -> int:
-        ids = self.encode_chunk(raw.decode("utf-8", "replace"))
-        self.starts.append(len(self.flat))
-        self.sizes.append(len(ids))
-        self.flat.extend(ids)
-        return len(self.sizes) - 1
-
     def encode_chunk(self, text: str) -> list[int]:
         if parts := self.split(text):
             letters, tail = parts.groups()
@@ -82,34 +88,59 @@ class Encoder:
             return ids + self.word(tail) if tail else ids
         return self.whole.encode(text, add_special_tokens=False).ids
 
-    def encode(self, text: bytes) -> np.ndarray:
-        """Ids of a text in UTF-8."""
+    def encode_many(self, texts: list[bytes], closed: bool = True) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts in UTF-8, one after the other and each with its end if ``closed``, and the number of each."""
         if len(self.at) > REMEMBERED:
             self.turn()
-        # the tokenizer folds case itself, but tells its special tokens by the case they are written in
-        found = text.split() if b"<|" in text else text.lower().split()
-        at = np.fromiter(map(self.at.__getitem__, found), np.int64, len(found))
-        if not len(at):
-            return np.empty(0, np.int32)
-        sizes = np.frombuffer(self.sizes, np.int32)[at].astype(np.int64)
-        begins = np.frombuffer(self.starts, np.int64)[at]
-        ends = np.cumsum(sizes)
-        places = np.arange(int(ends[-1])) + np.repeat(begins - (ends - sizes), sizes)
-        return np.frombuffer(self.flat, np.int32)[places]
+        chunks, last = [], []
+        for text in texts:
+            # the tokenizer folds case itself, but tells its special tokens by the case they are written in
+            chunks += text.split() if b"<|" in text else text.lower().split()
+            if closed:
+                chunks.append(b"")
+            last.append(len(chunks))
+        if new := set(chunks).difference(self.at):
+            self.learn(new)
+        at = np.fromiter(map(self.at.__getitem__, chunks), np.int64, len(chunks))
+        uses = np.bincount(at, minlength=len(self.sizes))
+        uses[: len(self.uses)] += self.uses
+        self.uses = uses
+        sizes = np.frombuffer(self.sizes, np.int32)[at].astype(np.int64) if len(at) else at
+        ends = np.append(0, np.cumsum(sizes))
+        numbers = np.diff(ends[np.append(0, last).astype(np.int64)])
+        if not ends[-1]:
+            return np.empty(0, np.int32), numbers
+        places = np.arange(ends[-1]) + np.repeat(np.frombuffer(self.starts, np.int64)[at] - ends[:-1], sizes)
+        return np.frombuffer(self.flat, np.int32)[places], numbers
+
+    def encode(self, text: bytes) -> np.ndarray:
+        """Ids of a text in UTF-8, without an end."""
+        return self.encode_many([text], closed=False)[0]
 
 
-#: The worker's encoders by file, kept between tasks.
-ENCODERS: dict[str, Encoder] = {}
+#: The worker's encoders by file and end, kept between tasks.
+ENCODERS: dict[tuple[str, int], Encoder] = {}
 
 
-def _encoder(file: str) -> Encoder:
+def _encoder(file: str, end: int) -> Encoder:
     """The worker's encoder of a file; memory that earlier work of this worker left unused goes back first."""
     from quern.llm import tokenstore
 
     pa.default_memory_pool().release_unused()
-    if file not in tokenstore.ENCODERS:
-        tokenstore.ENCODERS[file] = Encoder(file)
-    return tokenstore.ENCODERS[file]
+    if (file, end) not in tokenstore.ENCODERS:
+        tokenstore.ENCODERS[file, end] = Encoder(file, end)
+    return tokenstore.ENCODERS[file, end]
+
+
+def _together(batch: pa.RecordBatch) -> Iterator[tuple[pa.Array, list[bytes]]]:
+    """Keys and texts (null: empty) of a batch in runs of about TOGETHER bytes."""
+    begun, size, texts = 0, 0, []
+    for k, value in enumerate(batch.column(1), 1):
+        texts.append(value.as_py() or b"")
+        size += len(texts[-1])
+        if size > TOGETHER or k == batch.num_rows:
+            yield batch.column(0).slice(begun, k - begun), texts
+            begun, size, texts = k, 0, []
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer_file: str, end_id: int, key: str = "doc_id", text: str = "text", row_group: int = 32 << 20, page: int = 128 << 10) -> None:
@@ -120,17 +151,12 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_file: str, end_id: int, k
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, at = _encoder(tokenizer_file), 0
-        end = np.array([end_id], np.int32)
-        for batch in (whole.slice(k, 1000) for whole in batches for k in range(0, whole.num_rows, 1000)):
-            parts = []
-            for value in batch.column(1):
-                parts += [encoder.encode(value.as_py() or b""), end]
-            sizes = np.fromiter((len(parts[i]) + 1 for i in range(0, len(parts), 2)), np.int64, len(parts) // 2)
-            flat = np.concatenate(parts) if parts else np.empty(0, np.int32)
+        encoder, at = _encoder(tokenizer_file, end_id), 0
+        for keys, texts in (run for batch in batches for run in _together(batch)):
+            flat, sizes = encoder.encode_many(texts)
             offsets = np.concatenate(([0], np.cumsum(sizes)))
             ids = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(flat))
-            yield pa.record_batch([batch.column(0), pa.array(at + offsets[:-1]), pa.array(sizes), ids], names=["key", "at", "n_tokens", "ids"])
+            yield pa.record_batch([keys, pa.array(at + offsets[:-1]), pa.array(sizes), ids], names=["key", "at", "n_tokens", "ids"])
             at += int(offsets[-1])
 
     kind = docs.schema[key].dataType.simpleString()

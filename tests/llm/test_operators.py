@@ -195,6 +195,25 @@ def test_tokens_round_trip(spark, docs, odd, empty, tmp_path):
     assert len(tokenstore.read_tokens(spark, str(tmp_path / "docs"), F.col("key") == 7).collect()) == 1
 
 
+def test_encoder_keeps_the_most_used_chunks(monkeypatch):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    file = public_tokenizers.path("word_bpe_49k.json")
+    monkeypatch.setattr(tokenstore, "REMEMBERED", 300)
+    monkeypatch.setattr(tokenstore, "KEPT", 100)
+    whole, coder, asked = Tokenizer.from_file(file), tokenstore.Encoder(file, 2), Counter()
+    plain = coder.encode_chunk
+    coder.encode_chunk = lambda text: asked.update([text]) or plain(text)
+    rng = random.Random(7)
+    for _ in range(60):
+        texts = [" ".join(rng.choice(["the", "sea,", "été", "x1"]) if k % 2 else f"w{'abcdefgh'[rng.randrange(8)]}{rng.randrange(9999)}q" for k in range(40)) for _ in range(3)] + ["", " "]
+        flat, sizes = coder.encode_many([t.encode() for t in texts])
+        ids = [[*whole.encode(t, add_special_tokens=False).ids, 2] for t in texts]
+        assert flat.tolist() == sum(ids, []) and sizes.tolist() == [len(x) for x in ids]
+    assert len(coder.at) < 500 and max(asked[t] for t in ("the", "sea,", "été", "x1")) == 1
+
+
 def test_warc_round_trip(spark, tmp_path):
     big = "<p>" + "x" * 200 + "é</p>"
     rows = [(5, "http://a/", big), (3, "http://b/\r\nX: y", big), (9, None, big), (4, "u", "tiny"), (6, "u", "tiny"), (7, "u", None), (8, "u", ""), (5, "http://a/", big), (10, "u", "y" * 300_000), (None, "u", "z" * 150)]
