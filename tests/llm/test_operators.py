@@ -214,6 +214,28 @@ def test_encoder_keeps_the_most_used_chunks(monkeypatch):
     assert len(coder.at) < 500 and max(asked[t] for t in ("the", "sea,", "été", "x1")) == 1
 
 
+def test_plain_chunks_are_merged_side_by_side():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    file = public_tokenizers.path("word_bpe_49k.json")
+    whole, coder, asked = Tokenizer.from_file(file), tokenstore.Encoder(file, 2), []
+    plain = coder.encode_chunk
+    coder.encode_chunk = lambda text: asked.append(text) or plain(text)
+    rng = random.Random(5)
+    latin = [chr(c) for c in range(0xC0, 0x1BB) if c != 0x130 and chr(c).isalpha()]
+    words = ["".join(rng.choice("etaoinshrdlu") for _ in range(rng.randrange(1, 20))) for _ in range(3000)] + ["".join(rng.choice([*"aeiorst", *latin]) for _ in range(rng.randrange(1, 12))) for _ in range(2000)]
+    words += [w + "".join(rng.choice("!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~") for _ in range(rng.randrange(1, 6))) for w in words[::3]] + [*latin, *"aZ.,", "...", "$$$"]
+    odd = ["don't", "x.y", ".x", "a1", "é×", "÷", "İ", "ƻ", "e\u0301", "ñ日", "日", "\u212a", "ẞ", "w" * 33, "é" * 17, "é" * 500, "a\x85b", "'", "😀é"]
+    for some, lower in ((words, False), (odd, False), ([w.upper() for w in words[:500]] + ["<|x"], True)):
+        flat, sizes = coder.encode_many([" ".join(some).encode(), b"", *(w.encode() for w in some)])
+        ids = [[*whole.encode(t, add_special_tokens=False).ids, 2] for t in (" ".join(some), "", *some)]
+        assert flat.tolist() == sum(ids, []) and sizes.tolist() == [len(x) for x in ids]
+        assert set(asked) <= {*odd, *map(str.lower, odd), "<|x", *(w for w in some if lower and len(w.encode()) != len(w.lower().encode()))}
+    cut = b"caf\xc3 \xc3.\xa9 \xc3\xc3 \x80a na\xc3\xafve\xc3"
+    assert coder.encode(cut).tolist() == whole.encode(cut.decode("utf-8", "replace"), add_special_tokens=False).ids
+
+
 def test_warc_round_trip(spark, tmp_path):
     big = "<p>" + "x" * 200 + "é</p>"
     rows = [(5, "http://a/", big), (3, "http://b/\r\nX: y", big), (9, None, big), (4, "u", "tiny"), (6, "u", "tiny"), (7, "u", None), (8, "u", ""), (5, "http://a/", big), (10, "u", "y" * 300_000), (None, "u", "z" * 150)]
