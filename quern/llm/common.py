@@ -63,6 +63,18 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """From now on at most ``rows`` rows go to Python in one Arrow batch; a smaller setting stays.
+
+    The JVM and the worker both hold the batches of whole texts several times over, beside each
+    other in all tasks, outside the heap.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name, "10000"))
+    if not 0 < now <= rows:
+        spark.conf.set(name, str(rows))
+
+
 def open_fs(uri: str):
     """(filesystem, path) of a URI by pyarrow, for files that are not tables."""
     from pyarrow import fs

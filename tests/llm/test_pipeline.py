@@ -4,6 +4,8 @@ import random
 
 import corpus_pipeline
 
+SF = "/root/testdata/sf0.001"
+
 
 def test_planted_cases(spark, tmp_path):
     rng = random.Random(11)
@@ -23,3 +25,24 @@ def test_planted_cases(spark, tmp_path):
     assert {r["doc_id"] for r in out} == set(range(200)) - set(toxic)
     rows = sorted(out, key=lambda r: r["start"])
     assert [r["start"] for r in rows] == [sum(x["n_tokens"] for x in rows[:k]) for k in range(len(rows))]
+
+
+def test_stages_send_small_batches(spark):
+    import pyarrow as pa
+
+    def rows(batches):
+        for batch in batches:
+            yield pa.record_batch([pa.array([batch.num_rows])], names=["n"])
+
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    try:
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            spark.conf.set(name, "10000")
+            stage(spark, spark.read.parquet(f"{SF}/documents.parquet"), SF)
+            assert max(r["n"] for r in spark.range(0, 5000, 1, 1).mapInArrow(rows, "n long").collect()) == 1000
+        spark.conf.set(name, "10")
+        corpus_pipeline.drop_near_duplicates(spark, spark.read.parquet(f"{SF}/documents.parquet"), SF)
+        assert spark.conf.get(name) == "10"
+    finally:
+        spark.conf.set(name, before)
