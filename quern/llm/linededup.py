@@ -54,26 +54,33 @@ def similar(a: str, b: str, least: float) -> bool:
     allowed = int((1 - least) * longer + 1e-9)
     if abs(len(a) - len(b)) > allowed:
         return False
-    return aligned(a.split(" "), b.split(" ")) <= allowed or distance(a, b, allowed) <= allowed
+    return aligned(a.split(" "), b.split(" "), allowed) <= allowed or distance(a, b, allowed) <= allowed
 
 
-def aligned(a: list[str], b: list[str]) -> int:
-    """An upper bound of the edit distance: words are matched in order, what lies between is replaced."""
-    at, cost, n, m = 0, 0, len(a), len(b)
-    to = 0
+#: How far two word lists may be apart where they agree again, the nearest first.
+STEPS = tuple((i, ahead - i) for ahead in range(1, 4) for i in range(ahead + 1))
+
+
+def aligned(a: list[str], b: list[str], most: float = float("inf")) -> float:
+    """An upper bound of the edit distance: words are matched in order, what lies between is replaced.
+
+    Over ``most`` it may stop early.
+    """
+    at, to, cost, n, m = 0, 0, 0, len(a), len(b)
     while at < n and to < m:
         if a[at] == b[to]:
             at, to = at + 1, to + 1
             continue
-        for ahead in range(1, 4):  # the next words that agree, a few ahead at most
-            step = next(((i, ahead - i) for i in range(ahead + 1) if at + i < n and to + ahead - i < m and a[at + i] == b[to + ahead - i]), None)
-            if step:
+        for down, along in STEPS:  # the next words that agree, a few ahead at most
+            if at + down < n and to + along < m and a[at + down] == b[to + along]:
                 break
         else:
-            step = (1, 1)
-        gone, come = sum(map(len, a[at : at + step[0]])) + step[0], sum(map(len, b[to : to + step[1]])) + step[1]
-        cost += max(gone, come)
-        at, to = at + step[0], to + step[1]
+            down = along = 1
+        gone, come = sum(map(len, a[at : at + down])) + down, sum(map(len, b[to : to + along])) + along
+        cost += gone if gone > come else come
+        if cost > most:
+            return cost
+        at, to = at + down, to + along
     return cost + max(sum(map(len, a[at:])) + n - at, sum(map(len, b[to:])) + m - to)
 
 
@@ -351,8 +358,10 @@ def like_lines(similarity: float):
         for at in range(n):
             shares[at][np.abs(sizes - sizes[at]) > allowed(sizes, sizes[at])] = 0
             for k in np.argsort(-shares[at], kind="stable")[:4].tolist():  # most classes come together by these
-                if shares[at, k] and seed[at] != seed[k] and aligned(lines[at].split(" "), lines[k].split(" ")) <= (1 - similarity) * max(sizes[at], sizes[k]) + 1e-9:
-                    join(at, k)
+                if shares[at, k] and seed[at] != seed[k]:
+                    most = (1 - similarity) * max(sizes[at], sizes[k]) + 1e-9
+                    if aligned(lines[at].split(" "), lines[k].split(" "), most) <= most:
+                        join(at, k)
         for at in range(n):
             rest, lanes = np.flatnonzero(shares[at, :at]), 16
             rest = rest[np.argsort(-shares[at, rest], kind="stable")]

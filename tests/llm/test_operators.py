@@ -214,6 +214,27 @@ def test_encoder_keeps_the_most_used_chunks(monkeypatch):
     assert len(coder.at) < 500 and max(asked[t] for t in ("the", "sea,", "été", "x1")) == 1
 
 
+def test_alignment_stops_beyond_what_is_allowed():
+    read = []
+
+    class Word(str):
+        def __eq__(self, other):
+            read.append(self)
+            return str.__eq__(self, other)
+
+        __hash__ = str.__hash__
+
+    a, b = [f"one{k}" for k in range(500)], [f"two{k}" for k in range(500)]
+    assert linededup.aligned([Word(x) for x in a], b, 20) > 20 and len(read) < 100
+    rng = random.Random(3)
+    for _ in range(300):
+        a = [rng.choice("abcdef") * rng.randrange(1, 5) for _ in range(rng.randrange(30))]
+        b = [w for w in a if rng.random() > 0.1] + ["z"] * rng.randrange(3)
+        full, most = linededup.aligned(a, b), rng.randrange(40)
+        assert full >= linededup.distance(" ".join(a), " ".join(b), 10**6)
+        assert (linededup.aligned(a, b, most) <= most) == (full <= most)
+
+
 def test_plain_chunks_are_merged_side_by_side():
     import public_tokenizers
     from tokenizers import Tokenizer
