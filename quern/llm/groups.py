@@ -20,6 +20,10 @@ from quern.llm.common import stored
 
 #: Members and payload bytes of a part, at most about.
 MOST, MOST_BYTES = 1024, 16 << 20
+#: Upper bits of a bucket that name its part, pairs in a parcel, and pairs that are put in order at once.
+PART_BITS, PARCEL, AT_ONCE = 12, 512, 1 << 20
+#: Sets whose members are compared together, and their characters.
+SETS, SET_CHARS = 4096, 4 << 20
 #: Where the filter takes its bits from.
 SHIFTS = (0, 20, 40)
 
@@ -138,6 +142,65 @@ def met(places: DataFrame) -> DataFrame:
     return places.repartition("bucket").sortWithinPartitions("bucket", "h").mapInArrow(run, "root long, h long").distinct()
 
 
+def parcels(buckets: np.ndarray, h: np.ndarray) -> tuple[pa.Array, pa.Array]:
+    """(part, parcel) of pairs of bucket and ``h``: up to PARCEL pairs of one part, as numbers of eight bytes."""
+    part = (buckets >> np.uint64(64 - PART_BITS)).astype(np.uint16)
+    order = np.argsort(part, kind="stable")
+    part, n = part[order], len(order)
+    new = np.flatnonzero(np.append(True, part[1:] != part[:-1])[:n])
+    starts = np.flatnonzero((np.arange(n) - np.repeat(new, np.diff(np.append(new, n)))) % PARCEL == 0)
+    data = np.stack((buckets, h.view(np.uint64)), axis=1)[order].astype("<u8", copy=False)
+    offsets = np.append(starts, n).astype(np.int32) * np.int32(16)
+    return pa.array(part[starts].astype(np.int32)), pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+
+
+def met_parcels(rows: DataFrame) -> DataFrame:
+    """``met`` of (part, parcel) rows as ``parcels`` makes them, with the same rows.
+
+    A worker holds the pairs of one part, or of several small ones; those of a part with more than
+    AT_ONCE pairs are put in order in slices of whole buckets.
+    """
+
+    def shared(held: list[bytes]) -> Iterator[pa.RecordBatch]:
+        data = np.frombuffer(b"".join(held), "<u8").reshape(-1, 2)
+        slices = 1 << (len(data) // AT_ONCE).bit_length() if len(data) >= 2 * AT_ONCE else 1
+        for k in range(slices):
+            some = data if slices == 1 else data[(data[:, 0] >> np.uint64(8)) & np.uint64(slices - 1) == k]
+            bucket = np.ascontiguousarray(some[:, 0])
+            order = np.argsort(bucket)
+            bucket = bucket[order]
+            same = bucket[1:] == bucket[:-1]
+            inside = np.append(same, False) | np.append(False, same)  # buckets with one pair have no rows
+            bucket, h = bucket[inside], some[order[inside], 1].view(np.int64)
+            if not len(h):
+                continue
+            starts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+            least = np.minimum.reduceat(h, starts)
+            roots = np.repeat(least, np.diff(np.append(starts, len(h))))
+            other = h != roots
+            several = least[np.logical_or.reduceat(other, starts)]
+            a, b = np.append(roots[other], several), np.append(h[other], several)
+            order = np.lexsort((b, a))
+            a, b = a[order], b[order]
+            once = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))[: len(a)]
+            yield pa.record_batch([pa.array(a[once]), pa.array(b[once])], names=["root", "h"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held, size = None, [], 0
+        for batch in batches:
+            for part, parcel in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if part != last and size >= 16 * AT_ONCE:
+                    yield from shared(held)
+                    held, size = [], 0
+                last = part
+                held.append(parcel)
+                size += len(parcel)
+        if held:
+            yield from shared(held)
+
+    return rows.repartition("part").sortWithinPartitions("part").mapInArrow(run, "root long, h long").distinct()
+
+
 #: What compares the members of one part: prepared payloads, a member, others to find its neighbours among.
 Near = Callable[[object, int, np.ndarray], np.ndarray]
 
@@ -171,7 +234,7 @@ def by_run(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[list[list]
         yield held
 
 
-def linked(members: DataFrame, prepare: Callable[[list], object], near: Near, classes: Callable[[object, int], np.ndarray] | None = None, kinds_near: Callable[[object, int, np.ndarray, np.ndarray], np.ndarray] | None = None, most: int = MOST, most_bytes: int = MOST_BYTES) -> DataFrame:
+def linked(members: DataFrame, prepare: Callable[[list], object], near: Near, classes: Callable[[object, int], np.ndarray] | None = None, kinds_near: Callable[[object, int, np.ndarray, np.ndarray], np.ndarray] | None = None, most: int = MOST, most_bytes: int = MOST_BYTES, many: Callable[[list[list]], list[np.ndarray]] | None = None) -> DataFrame:
     """(a, b): links of members (root, h, payload) that pass the test, enough for its components in each root.
 
     ``members`` must be cheap to read twice (a stored table) and hold each (root, h) once.
@@ -179,16 +242,31 @@ def linked(members: DataFrame, prepare: Callable[[list], object], near: Near, cl
     ``settled``; it must have compared all pairs of different classes.  ``kinds_near`` is told
     the kinds of all and finds at least one neighbour of each kind that has any; ``most`` and
     ``most_bytes`` bound a part, and so the comparisons of one task, which are quadratic in it.
+    ``many`` gives what ``classes`` does for the payloads of several parts at once.
     """
     size = members.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("payload")).alias("m"))
     parts = F.greatest(F.ceil(F.col("n") / F.lit(most)), F.ceil(F.col("m") / F.lit(most_bytes))).cast("int")
     large = size.select(F.col("root").alias("_root"), parts.alias("parts")).filter("parts > 1")
     dealt = members.join(large, members["root"] == large["_root"], "left").select("root", F.coalesce(F.pmod(F.xxhash64("h"), F.col("parts")), F.lit(0)).cast("int").alias("part"), F.coalesce("parts", F.lit(1)).alias("parts"), "h", "payload")
 
+    def seeds(sets: list[list[list]]) -> list[np.ndarray]:
+        if many:
+            return many([x[4] for x in sets])
+        return [(classes(prepare(x[4]), len(x[3])) if classes else settled(prepare(x[4]), near, len(x[3]))) for x in sets]
+
+    def together(batches: Iterator[pa.RecordBatch]) -> Iterator[list[list[list]]]:
+        held, size = [], 0
+        for one in by_run(batches, 2):
+            held.append(one)
+            size += sum(map(len, one[4])) if many else 0
+            if not many or len(held) >= SETS or size >= SET_CHARS:
+                yield held
+                held, size = [], 0
+        if held:
+            yield held
+
     def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for root, part, parts, h, payload in by_run(batches, 2):
-            items = prepare(payload)
-            seed = classes(items, len(h)) if classes else settled(items, near, len(h))
+        for (root, part, parts, h, _), seed in ((x, y) for sets in together(batches) for x, y in zip(sets, seeds(sets), strict=True)):
             told = np.arange(len(h)) if parts[0] > 1 else np.flatnonzero(seed != np.arange(len(h)))
             names = np.array(h, np.int64)
             yield pa.record_batch([pa.array(np.array(x)[told], t) for x, t in ((root, pa.int64()), (part, pa.int32()), (parts, pa.int32()))] + [pa.array(names[told]), pa.array(names[seed[told]])], names=["root", "part", "parts", "h", "seed"])

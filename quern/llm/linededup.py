@@ -18,7 +18,7 @@ occurrence in (document, line) order stays.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Generator, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from quern.llm.common import discard, stored
 from quern.llm.components import components
-from quern.llm.groups import band_keys, filter_bits, linked, met, minima, mixed, odd_factors, passing, pieces, settled
+from quern.llm.groups import AT_ONCE, band_keys, filter_bits, linked, met_parcels, minima, mixed, odd_factors, parcels, passing, pieces
 
 #: Digits to 0, white space but line ends to blanks.
 NORMAL = bytes.maketrans(b"123456789\t\r\x0b\x0c", b"000000000    ")
@@ -38,8 +38,10 @@ FACTORS = odd_factors(BANDS * WORD_WIDTH, 1)
 WORDS_FROM, GRAMS_BELOW = 8, 12
 #: Lines of at most so many characters also meet by deletions.
 SHORT = 14
-#: Lines that are compared with one at once.
-LANES = 256
+#: Lines that are compared with one at once, and from how many on that is done without other pairs.
+LANES, ALONE = 256, 48
+#: Bits of the columns of pairs that are compared at once, and columns whose matches are found at once.
+COLUMN_BITS, COLUMNS = 1 << 16, 16
 #: Bytes of lines in a part of a large set: what one task compares is quadratic in them.
 PART_BYTES = 128 << 10
 #: The two blocks of a SimHash.
@@ -147,6 +149,78 @@ def close(text: str, others: list[str], least: float) -> np.ndarray:
     return len(text) + rose - fell <= ((1 - least) * np.maximum(sizes, len(text)) + 1e-9).astype(np.int64)
 
 
+def agree(a: str, b: str) -> int:
+    """How many characters two lines have in common from the start."""
+    low, high = 0, min(len(a), len(b))
+    while low < high:
+        middle = (low + high + 1) // 2
+        if a[low:middle] == b[low:middle]:
+            low = middle
+        else:
+            high = middle - 1
+    return low
+
+
+def distances(pairs: list[tuple[str, str]]) -> np.ndarray:
+    """Edit distance of each pair: the bit-parallel columns of pairs of like length lie in one long integer."""
+    out = np.zeros(len(pairs), np.int64)
+    todo = []
+    for k, (a, b) in enumerate(pairs):
+        start = agree(a, b)
+        a, b = a[start:], b[start:]
+        if end := agree(a[::-1], b[::-1]):
+            a, b = a[:-end], b[:-end]
+        if len(a) > len(b):
+            a, b = b, a
+        if a:
+            todo.append((len(b), len(a), k, a, b))
+        else:
+            out[k] = len(b)
+    todo.sort(key=lambda x: x[:3], reverse=True)
+    while todo:
+        width, n = 0, 0
+        for size, short, *_ in todo:  # the longest first
+            if n and (max(width, short // 8 * 8 + 8) * (n + 1) > COLUMN_BITS or size < 0.7 * todo[0][0]):
+                break
+            width, n = max(width, short // 8 * 8 + 8), n + 1  # a free bit above each line takes the carry
+        some, todo = todo[:n], todo[n:]
+        out[[x[2] for x in some]] = columns([x[3] for x in some], [x[4] for x in some], width)
+    return out
+
+
+def columns(down: list[str], along: list[str], width: int) -> np.ndarray:
+    """Edit distances of lines shorter than ``width`` to others, of which none is longer than the one before."""
+    n, sizes, steps = len(down), np.array([len(x) for x in down]), np.array([len(x) for x in along])
+    codes = np.frombuffer("".join(down + along).encode("utf-32-le", "surrogatepass"), "<u4")
+    names, codes = np.unique(codes, return_inverse=True)
+    codes = codes.astype(np.uint8 if len(names) < 254 else np.uint32) + 2
+    inside, read = np.arange(width) < sizes[:, None], np.arange(steps[0]) < steps[:, None]
+    a, b = np.zeros(inside.shape, codes.dtype), np.ones(read.shape, codes.dtype)  # what is beyond an end matches nothing
+    a[inside], b[read] = codes[: sizes.sum()], codes[sizes.sum() :]
+    full = int.from_bytes(np.packbits(inside, axis=1, bitorder="little").tobytes(), "little")
+    first = int.from_bytes((b"\x01" + bytes(width // 8 - 1)) * n, "little")
+    plus, minus, out = full, 0, steps.copy()
+    going = np.searchsorted(-steps, -np.arange(steps[0]), side="left")  # lines that go on at each step
+    for start in range(0, int(steps[0]), COLUMNS):
+        lanes = int(going[start])
+        found = np.packbits(a[None, :lanes] == b[:lanes, start : start + COLUMNS].T[:, :, None], axis=2, bitorder="little")
+        for at, match in enumerate(found.reshape(len(found), -1), start):
+            match = int.from_bytes(match.tobytes(), "little")
+            zero = (((match & plus) + plus) ^ plus) | match | minus
+            up = minus | full & ~(zero | plus)
+            down_ = plus & zero
+            up = (up << 1 | first) & full
+            plus = (down_ << 1) & full | full & ~(zero | up)
+            minus = up & zero
+            left = int(going[at + 1]) if at + 1 < len(going) else 0
+            if left < n:  # the last lines are through
+                rose, fell = (np.bitwise_count(np.frombuffer((x >> left * width).to_bytes((n - left) * width // 8, "little"), np.uint8)).reshape(n - left, -1).sum(axis=1, dtype=np.int64) for x in (plus, minus))
+                out[left:n] += rose - fell
+                n, kept = left, (1 << left * width) - 1
+                plus, minus, full, first = plus & kept, minus & kept, full & kept, first & kept
+    return out
+
+
 def normal_lines(texts: list[str | None]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     """The normalised lines that have words, the text of each and its number there."""
     data = "\n".join(t or "" for t in texts).lower().encode("utf-8", "replace").translate(NORMAL)
@@ -263,29 +337,45 @@ class Places:
 
 
 def line_table(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, n, h, g, places): every line with words, the digest of its normal form, and where that may meet others.
+    """(key, n, h, g, part, parcel): every line with words and the digest of its normal form, and, in rows of their
+    own that have a part, where lines may meet others.
 
     A line that came before in the same piece of work has no places.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         places = Places()
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        size, type_ = 0, None
+        names = ["key", "n", "h", "g", "part", "parcel"]
+
+        def packed() -> pa.RecordBatch:
+            part, parcel = parcels(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            return pa.record_batch([pa.nulls(len(part), x) for x in (type_, pa.int32(), pa.int64(), pa.int64())] + [part, parcel], names=names)
+
         for batch in batches:
             seen: set[bytes] = set()
+            type_ = batch.column(0).type
             for at, texts in pieces(batch.column(1)):
                 lines, rows, numbers = normal_lines(texts)
                 if not lines:
                     continue
+                digest = digests(lines)
                 fresh = [k for k, x in enumerate(lines) if not (x in seen or seen.add(x))]
-                sizes = np.zeros(len(lines), np.int64)
-                keys, sizes[fresh] = places.of([lines[k] for k in fresh]) if fresh else (np.empty(0, np.uint64), 0)
-                ends = pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32())
-                names = digests(lines)
-                yield pa.record_batch([batch.column(0).take(pa.array(rows + at)), pa.array(numbers, pa.int32()), pa.array(names[:, 0]), pa.array(names[:, 1]), pa.ListArray.from_arrays(ends, pa.array(keys.view(np.int64)))], names=["key", "n", "h", "g", "places"])
+                if fresh:
+                    keys, sizes = places.of([lines[k] for k in fresh])
+                    held.append((keys, np.repeat(digest[fresh, 0], sizes)))
+                    size += len(keys)
+                yield pa.record_batch([batch.column(0).take(pa.array(rows + at)), pa.array(numbers, pa.int32()), pa.array(digest[:, 0]), pa.array(digest[:, 1]), pa.nulls(len(lines), pa.int32()), pa.nulls(len(lines), pa.binary())], names=names)
+                if size >= AT_ONCE:
+                    yield packed()
+                    held, size = [], 0
+        if size:
+            yield packed()
 
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, f"key {kind}, n int, h long, g long, places array<long>")
+    return rows.mapInArrow(run, f"key {kind}, n int, h long, g long, part int, parcel binary")
 
 
 def asked_lines(docs: DataFrame, text: str, bits: np.ndarray) -> DataFrame:
@@ -319,6 +409,134 @@ def shared_places(table: np.ndarray) -> np.ndarray:
     return out
 
 
+def place_tables(payloads: list[list[str]]) -> list[np.ndarray | None]:
+    """For each set of more than eight lines a row of sorted places for each line; what fills a row up is like no other."""
+    large = [k for k, x in enumerate(payloads) if len(x) > 8]
+    out: list[np.ndarray | None] = [None] * len(payloads)
+    places, held, size = Places(), [], 0
+    for k in large:
+        held.append(k)
+        size += sum(map(len, payloads[k]))
+        if size < 1 << 18 and k != large[-1]:
+            continue
+        keys, sizes = places.of([x.encode() for j in held for x in payloads[j]])
+        keys, ends, at = keys.view(np.int64), np.cumsum(sizes), 0
+        for j in held:
+            n = len(payloads[j])
+            own = sizes[at : at + n]
+            table = -np.arange(n * int(own.max())).reshape(n, -1).astype(np.int64)
+            table[np.arange(table.shape[1]) < own[:, None]] = keys[ends[at] - own[0] : ends[at + n - 1]]
+            out[j], at = np.sort(table, axis=1), at + n
+        held, size = [], 0
+    return out
+
+
+#: Asks whether pairs of lines are similar, is told, and ends with the first member of each member's class.
+Steps = Generator[list[tuple[str, str]], np.ndarray, np.ndarray]
+
+
+def class_steps(lines: list[str], table: np.ndarray | None, similarity: float) -> Steps:
+    """The classes of a set: those of all pairs that share a place, or of all pairs where there is no table."""
+    n, seed = len(lines), np.arange(len(lines))
+    if table is None:
+        rest, names = list(range(n)), list(range(n))
+        while len(rest) > 1:
+            first, todo, rest = rest[0], [rest[0]], rest[1:]
+            while todo and rest:
+                at = lines[todo.pop()]
+                told = yield [(at, lines[k]) for k in rest]
+                found = [k for k, x in zip(rest, told, strict=True) if x]
+                rest = [k for k, x in zip(rest, told, strict=True) if not x]
+                todo += found
+                for k in found:
+                    names[k] = first
+        return np.array(names)
+    sizes, shares = np.array([len(x) for x in lines]), shared_places(table)
+    shares[np.abs(sizes[:, None] - sizes) > ((1 - similarity) * np.maximum(sizes[:, None], sizes) + 1e-9).astype(np.int64)] = 0
+    words = [x.split(" ") for x in lines]
+
+    def join(a: int, b: int) -> None:
+        if seed[a] != seed[b]:
+            seed[seed == max(seed[a], seed[b])] = min(seed[a], seed[b])
+
+    for at in range(n):
+        for k in np.argsort(-shares[at], kind="stable")[:4].tolist():  # most classes come together by these
+            if shares[at, k] and seed[at] != seed[k]:
+                most = (1 - similarity) * max(sizes[at], sizes[k]) + 1e-9
+                if aligned(words[at], words[k], most) <= most:
+                    join(at, k)
+    a, b = np.nonzero(np.tril(shares))
+    order = np.argsort(-shares[a, b], kind="stable")
+    a, b, most = a[order], b[order], 1
+    while len(a):
+        apart = seed[a] != seed[b]
+        a, b = a[apart], b[apart]
+        if not len(a):
+            break
+        # of each two classes the pairs that share most, more of them in each round
+        two = np.minimum(seed[a], seed[b]) * n + np.maximum(seed[a], seed[b])
+        order = np.argsort(two, kind="stable")
+        starts = np.flatnonzero(np.append(True, two[order[1:]] != two[order[:-1]]))
+        asked = np.zeros(len(a), bool)
+        asked[order] = np.arange(len(a)) - np.repeat(starts, np.diff(np.append(starts, len(a)))) < most
+        one, other, a, b, most = a[asked], b[asked], a[~asked], b[~asked], 4 * most
+        wide = np.bincount(one, minlength=n)[one] >= ALONE
+        for at in np.unique(one[wide]).tolist():
+            rest = other[one == at]
+            rest = rest[seed[rest] != seed[at]]
+            for some in np.split(rest, range(LANES, len(rest), LANES)):
+                if len(some):
+                    for k in some[close(lines[at], [lines[k] for k in some.tolist()], similarity)].tolist():
+                        join(at, k)
+        one, other = one[~wide].tolist(), other[~wide].tolist()
+        if one:
+            told = yield [(lines[x], lines[y]) for x, y in zip(one, other, strict=True)]
+            for x, y, same in zip(one, other, told.tolist(), strict=True):
+                if same:
+                    join(x, y)
+    return seed
+
+
+def within(pairs: list[tuple[str, str]], least: float) -> np.ndarray:
+    """``similar`` of many pairs."""
+    out, hard = np.zeros(len(pairs), bool), []
+    for k, (a, b) in enumerate(pairs):
+        longer = max(len(a), len(b))
+        allowed = int((1 - least) * longer + 1e-9)
+        if a == b or abs(len(a) - len(b)) <= allowed and aligned(a.split(" "), b.split(" "), allowed) <= allowed:
+            out[k] = True
+        elif abs(len(a) - len(b)) <= allowed:
+            hard.append((k, allowed))
+    if hard:
+        at, allowed = np.array(hard).T
+        out[at] = distances([pairs[k] for k in at.tolist()]) <= allowed
+    return out
+
+
+def driven(sets: list[Steps], similarity: float) -> list[np.ndarray]:
+    """What several sets end with; what they ask in a round is answered together."""
+    out: list[np.ndarray] = [np.empty(0)] * len(sets)
+    told: list[tuple[int, np.ndarray | None]] = [(k, None) for k in range(len(sets))]
+    while told:
+        asks, pairs = [], []
+        for k, answer in told:
+            try:
+                asked = sets[k].send(answer)
+            except StopIteration as end:
+                out[k] = end.value
+                continue
+            asks.append((k, len(pairs)))
+            pairs += asked
+        answers = within(pairs, similarity)
+        told = [(k, x) for (k, _), x in zip(asks, np.split(answers, [at for _, at in asks[1:]]), strict=True)] if asks else []
+    return out
+
+
+def line_classes(payloads: list[list[str]], similarity: float) -> list[np.ndarray]:
+    """The first member of each member's class, for each set of lines."""
+    return driven([class_steps(x, table, similarity) for x, table in zip(payloads, place_tables(payloads), strict=True)], similarity)
+
+
 def like_lines(similarity: float):
     """Preparation, neighbours, classes and neighbours by kind of lines: those that share a place and have the edit similarity."""
 
@@ -326,12 +544,7 @@ def like_lines(similarity: float):
         return ((1 - similarity) * np.maximum(sizes, size) + 1e-9).astype(np.int64)
 
     def prepare(payload: list[str]) -> tuple[list[str], np.ndarray | None]:
-        if len(payload) <= 8:
-            return payload, None
-        keys, sizes = Places().of([x.encode() for x in payload])
-        table = -np.arange(len(payload) * int(sizes.max())).reshape(len(payload), -1).astype(np.int64)  # no two alike
-        table[np.arange(table.shape[1]) < sizes[:, None]] = keys.view(np.int64)
-        return payload, np.sort(table, axis=1)
+        return payload, place_tables([payload])[0]
 
     def near(items: tuple[list[str], np.ndarray | None], at: int, rest: np.ndarray) -> np.ndarray:
         lines, table = items
@@ -346,30 +559,7 @@ def like_lines(similarity: float):
 
     def classes(items: tuple[list[str], np.ndarray | None], n: int) -> np.ndarray:
         """The first member of each member's class; pairs that share more come first, pairs inside a class are passed over."""
-        lines, table = items
-        if table is None:
-            return settled(items, near, n)
-        sizes, shares, seed = np.array([len(x) for x in lines]), shared_places(table), np.arange(n)
-
-        def join(a: int, b: int) -> None:
-            if seed[a] != seed[b]:
-                seed[seed == max(seed[a], seed[b])] = min(seed[a], seed[b])
-
-        for at in range(n):
-            shares[at][np.abs(sizes - sizes[at]) > allowed(sizes, sizes[at])] = 0
-            for k in np.argsort(-shares[at], kind="stable")[:4].tolist():  # most classes come together by these
-                if shares[at, k] and seed[at] != seed[k]:
-                    most = (1 - similarity) * max(sizes[at], sizes[k]) + 1e-9
-                    if aligned(lines[at].split(" "), lines[k].split(" "), most) <= most:
-                        join(at, k)
-        for at in range(n):
-            rest, lanes = np.flatnonzero(shares[at, :at]), 16
-            rest = rest[np.argsort(-shares[at, rest], kind="stable")]
-            while len(rest := rest[seed[rest] != seed[at]]):
-                some, rest, lanes = rest[:lanes], rest[lanes:], min(4 * lanes, LANES)
-                for k in some[close(lines[at], [lines[k] for k in some.tolist()], similarity)].tolist():
-                    join(at, k)
-        return seed
+        return driven([class_steps(*items, similarity)], similarity)[0]
 
     def kinds_near(items: tuple[list[str], np.ndarray | None], at: int, rest: np.ndarray, kinds: np.ndarray) -> np.ndarray:
         """A neighbour of each kind that has any; what shares more comes first, a kind that is met is passed over."""
@@ -400,21 +590,22 @@ def line_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", simila
     Texts are fetched by their digest, so repeated and null keys lose no link.  Lines whose
     128-bit digests agree count as equal (below 10^-14 in all for 10^12 different lines).
     """
-    lines = stored(line_table(docs, key, text), "lines")
+    table = stored(line_table(docs, key, text), "lines")
+    lines = table.filter("part is null").select("key", "n", "h", "g")
     nodes = lines.groupBy("h", "g").agg(F.min(F.struct("key", "n")).alias("first"))
     nodes = stored(nodes.select("h", "g", "first", F.monotonically_increasing_id().alias("id")), "nodes")
-    asked = stored(met(lines.select(F.explode("places").alias("bucket"), "h")), "met")
+    asked = stored(met_parcels(table.filter("part is not null").select("part", "parcel")), "met")
     texts = asked_lines(docs, text, filter_bits(asked, filter_power)).join(nodes.select("h", "g", "id"), ["h", "g"])
     members = stored(asked.join(texts, "h").select("root", F.col("id").alias("h"), "payload"), "members")
 
-    roots = components(linked(members, *like_lines(similarity), most_bytes=PART_BYTES))
+    roots = components(linked(members, *like_lines(similarity), most_bytes=PART_BYTES, many=lambda payloads: line_classes(payloads, similarity)))
     told = nodes.join(roots, nodes["id"] == roots["node"]).select("id", "first", "root")
     least = told.groupBy("root").agg(F.min("first").alias("stays"))
     changed = told.join(least, "root").select(F.col("id").alias("node"), F.col("root").alias("group"), "stays")
     named = nodes.join(changed, nodes["id"] == changed["node"], "left").select("h", "g", F.coalesce("group", "id").alias("group"), F.coalesce("stays", "first").alias("stays"))
     named = stored(named, "node-groups")
-    for table in (asked, members, nodes):
-        discard(table)
+    for done in (asked, members, nodes):
+        discard(done)
     out = lines.join(named, ["h", "g"]).select("key", "n", "group", F.struct("key", "n").eqNullSafe(F.col("stays")).alias("kept"))
     return out.withColumnRenamed("key", key)
 

@@ -565,6 +565,56 @@ def test_best_first_classes_are_those_of_all_pairs():
         assert found <= near and {kinds[k] for k in found} == {kinds[k] for k in near}
 
 
+def test_lines_of_many_sets_are_compared_together(monkeypatch):
+    """Many small sets give the classes of each set alone, in few runs over columns."""
+    draw = random.Random(5)
+    words = ["".join(draw.choice("abcdefgh\u00e9") for _ in range(draw.randint(1, 9))) for _ in range(200)]
+
+    def copy(line: str, share: float) -> str:
+        return "".join(draw.choice("xyz") if draw.random() < share else c for c in line)
+
+    sets = []
+    for size in [2] * 200 + [3, 5, 8, 9, 20, 60]:
+        base = " ".join(draw.choice(words) for _ in range(draw.randint(3, 30)))
+        sets.append(sorted({copy(base, draw.choice((0.02, 0.1, 0.14))) for _ in range(size)}))
+    sets += [["same start", "same start and more"], ["a", "b"], ["abc", "abcd"], ["x" * 300, "y" * 300]]
+    runs, columns = [], linededup.columns
+    monkeypatch.setattr(linededup, "columns", lambda *x: runs.append(len(x[0])) or columns(*x))
+    found = linededup.line_classes(sets, 0.8)
+    assert len(runs) < 60 and sum(runs) > 150
+    for lines, seed, table in zip(sets, found, linededup.place_tables(sets), strict=True):
+        shares = linededup.shared_places(table) if table is not None else np.ones((len(lines), len(lines)))
+        told = list(range(len(lines)))
+        for a in range(len(lines)):
+            for b in range(a):
+                if shares[a, b] and linededup.similar(lines[a], lines[b], 0.8):
+                    u, v = sorted((told[a], told[b]))
+                    told = [u if x == v else x for x in told]
+        assert seed.tolist() == told
+    pairs = [(x, y) for lines in sets[:150] for x in lines for y in lines]
+    assert linededup.distances(pairs).tolist() == [linededup.distance(a, b, 10**9) for a, b in pairs]
+
+
+def test_parcels_meet_as_single_pairs_do(spark):
+    rng = np.random.default_rng(11)
+    top = np.uint64(1 << 63)
+    bucket = np.concatenate((rng.integers(0, 2**63, 3000).astype(np.uint64), top + rng.integers(0, 500, 4000).astype(np.uint64), np.full(2500, 7, np.uint64)))
+    h = rng.integers(-1500, 1500, len(bucket))
+    part, parcel = groups.parcels(bucket, h)
+    assert len(parcel) < 3000 + 8 + 5 and max(map(len, parcel.to_pylist())) <= 16 * groups.PARCEL
+    single = spark.createDataFrame(list(zip(bucket.view(np.int64).tolist(), h.tolist(), strict=True)), "bucket long, h long")
+    packed = spark.createDataFrame(list(zip(part.to_pylist(), parcel.to_pylist(), strict=True)), "part int, parcel binary")
+    want = sorted(map(tuple, groups.met(single).collect()))
+    assert want and sorted(map(tuple, groups.met_parcels(packed).collect())) == want
+    # one part beyond what is put in order at once
+    n = 2 * groups.AT_ONCE + 5
+    many = np.arange(n, dtype=np.uint64) // np.uint64(2) * np.uint64(977)
+    part, parcel = groups.parcels(many, np.arange(n))
+    table = spark.createDataFrame(list(zip(part.to_pylist(), parcel.to_pylist(), strict=True)), "part int, parcel binary")
+    out = groups.met_parcels(table).toPandas()
+    assert len(out) == n - 1 and set(out["h"]) == set(range(n - 1)) and (out["root"] == out["h"] // 2 * 2).all()
+
+
 def test_fuzzy_lines_meet_whatever_the_keys(spark):
     rng = random.Random(3)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, 9)))
